@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontaminate, line_dedup, near_dedup, quality_rules
+from lectern.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 #: Operators that SQL can express; the others are tested against brute force.
 ORACLE_SQL = {
+    "op1_url_filter": url_filter.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }
