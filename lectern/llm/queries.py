@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules, url_filter
+from lectern.llm import bpe, decontaminate, license_scan, line_dedup, near_dedup, quality_rules, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_bpe": bpe.op10_bpe,
 }
