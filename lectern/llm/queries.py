@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, quality_rules, toxicity, url_filter
+from lectern.llm import bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, quality_rules, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_language_id": language_id.op8_language_id,
