@@ -191,6 +191,16 @@ def _finder(shared) -> object:
     return run
 
 
+def _portions(benchmark: DataFrame, item_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
+    """The items (ids, texts), in as many portions of about item_bytes as they need."""
+    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.octet_length("text").alias("size")).where("text is not null")
+    portions = max(1, -(-(sized.agg(F.sum("size")).first()[0] or 0) // item_bytes))
+    for p in range(portions):
+        mine = sized if portions == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == p)
+        rows = mine.select("item_id", "text").collect()  # one portion: at most about item_bytes
+        yield [r[0] for r in rows], [r[1] for r in rows]
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """One row for each document and each benchmark item that it holds, with the place and number of edits of the best match.
 
@@ -200,24 +210,37 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, i
     documents match nothing. Rows with a null doc_id are reported with a null doc_id. Repeated documents
     and repeated items are each reported. Empty tables give an empty result; other columns aren't looked at.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", F.octet_length("text").alias("size")).where("text is not null")
-    portions = max(1, -(-(sized.agg(F.sum("size")).first()[0] or 0) // item_bytes))
     out = None
-    for p in range(portions):
-        mine = sized if portions == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == p)
-        rows = mine.select("item_id", "text").collect()  # one portion: at most about item_bytes
-        shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], rate))
+    for ids, items in _portions(benchmark, item_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast((ids, items, rate))
         part = texts.mapInArrow(_finder(shared), FOUND)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with their columns, that hold no benchmark item. Decided row by row in one scan, without a shuffle if the items fit one portion."""
-    gone = find_benchmark(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def _dropper(shared, at: int) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = None
+        for batch in batches:
+            items = items or Items(*shared.value)
+            clean = np.ones(batch.num_rows, bool)
+            clean[[r[0] for r in find_items(items, T.strings(batch.column(at)))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The documents, with their columns, that hold no benchmark item; see `find_benchmark`.
+
+    Decided row by row in the scan, without any join or shuffle: each portion of the items drops what it
+    finds from what the one before left.
+    """
+    for ids, items in _portions(benchmark, item_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast((ids, items, rate))
+        docs = docs.mapInArrow(_dropper(shared, docs.columns.index("text")), docs.schema)
+    return docs
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

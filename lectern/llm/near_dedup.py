@@ -207,7 +207,8 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts"))
     heads = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("doc_id"), F.lit(0).alias("role"))
     rest = pairs.join(salts, "leader").select("leader", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.col("member").alias("doc_id"), F.lit(1).alias("role"))
-    rows = texts.join(heads.union(rest), "doc_id").select("leader", "doc_id", "text", "role", "salt")
+    # the hint keeps one plan at every size; Spark would else broadcast small sides alone
+    rows = texts.join(heads.union(rest).hint("merge"), "doc_id").select("leader", "doc_id", "text", "role", "salt")
     rows = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
     return rows.mapInArrow(_verify, "leader long, member long, jaccard double")
 
@@ -220,7 +221,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     copies = signed.select("doc_id", "fp1", "fp2").join(reps.where("copies > 1").select("fp1", "fp2", "rep"), ["fp1", "fp2"]).where("doc_id <> rep").select("doc_id", "rep")
     rows = reps.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = rows.join(shared, "key").join(reps.select(F.col("rep").alias("doc_id"), "sig"), "doc_id").select("key", "doc_id", "sig")
+    met = rows.join(shared.hint("merge"), "key").join(reps.select(F.col("rep").alias("doc_id"), "sig"), "doc_id").select("key", "doc_id", "sig")
     met = met.repartition("key").sortWithinPartitions("key", "doc_id")
     todo = keep(met.mapInArrow(_pair(threshold), "leader long, member long").where("leader <> member").distinct(), "candidates")
     return verify_pairs(texts, todo).where(F.col("jaccard") >= threshold), copies
@@ -243,7 +244,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with their columns, of which each group keeps that of least doc_id."""
     gone = near_groups(docs, threshold).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

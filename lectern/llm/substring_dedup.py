@@ -252,10 +252,10 @@ def repeated_passages(docs: DataFrame, min_tokens: int = MIN_TOKENS, hot: int =
     signed = keep(texts.mapInArrow(_anchors(min_tokens), "doc_id long, fp1 long, fp2 long, n long, anchors array<long>, places array<int>"), "anchors")
     reps = signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = keep(signed.select("doc_id", "fp1", "fp2", "n").join(reps, ["fp1", "fp2"]).where("doc_id <> rep").select("doc_id", "rep", "n").distinct(), "copies")
-    single = signed.join(copies.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("doc_id", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("pos"))
+    single = signed.join(copies.select("doc_id").hint("merge"), "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("doc_id", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("pos"))
     often = keep(single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often")
-    mine = single.join(often.select("anchor"), "anchor").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    places = texts.join(mine, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts(min_tokens), PLACES)
+    mine = single.join(often.select("anchor").hint("merge"), "anchor").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    places = texts.join(mine.hint("merge"), "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts(min_tokens), PLACES)
     crowded = often.where(F.col("n") > hot).select("anchor")
     if crowded.isEmpty():
         rows = places.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(_match(min_tokens), REPEATS)
