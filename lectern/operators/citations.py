@@ -1,0 +1,148 @@
+"""Citations found in drafts, and looked up in a bibliography by tiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lectern.functions.identifiers import author_prefixes, slug_year
+from lectern.functions.text import author_parts
+
+BLOCK = "[（(]\\s*(?:(?:参见|例如|另见|cf\\.?|see)\\s*)?([^（()）]{1,400}?)[）)]"
+UNIT = "^(.*?[^（()）,，；;]+?)\\s*[,，]?\\s*([0-9]{4})([a-z]?)(?![A-Za-z0-9_])"
+SHAPE = "[A-Za-z]{3,}|[\\x{3400}-\\x{9FFF}]{2,}"
+LOOSE = "[（(]([^（()）]{0,300}?[0-9]{4}[^（()）]{0,40}?)[）)]"
+EDITS = 2
+YEARS = 3
+NO_YEAR = 999
+
+
+def units(text: Column) -> Column:
+    """array(struct(authors, year, suffix, block)) of a text's parentheses: the first author and year of each part between semicolons."""
+    blocks = F.regexp_extract_all(text, F.lit(BLOCK), 1)
+    chunks = F.flatten(F.transform(blocks, lambda b, i: F.transform(F.split(b, "[;；]"), lambda c: F.struct(F.trim(c).alias("chunk"), i.alias("block")))))
+    named = F.transform(
+        F.filter(chunks, lambda c: c["chunk"].rlike(SHAPE) & c["chunk"].rlike(UNIT)),
+        lambda c: F.struct(
+            F.regexp_replace(F.regexp_replace(F.regexp_extract(c["chunk"], UNIT, 1), "^.*[（()）,，]", ""), "^[ ,，]+|[ ,，]+$", "").alias("authors"),
+            F.regexp_extract(c["chunk"], UNIT, 2).cast("int").alias("year"),
+            F.regexp_extract(c["chunk"], UNIT, 3).alias("suffix"),
+            c["block"].alias("block"),
+        ),
+    )
+    return F.filter(named, lambda u: u["authors"].rlike(SHAPE))
+
+
+def mentions(drafts: DataFrame) -> DataFrame:
+    """One row a mention: (file, at, authors_raw, author, year, suffix, key) of drafts (file, text)."""
+    rows = drafts.select("file", F.posexplode(units(F.col("text"))).alias("at", "u"))
+    rows = rows.select("file", "at", F.col("u.authors").alias("authors_raw"), author_parts(F.col("u.authors")).alias("author"), F.col("u.year").alias("year"), F.col("u.suffix").alias("suffix"))
+    base = F.when(F.col("author.slug") == "", "unknown").otherwise(F.col("author.slug"))
+    return rows.withColumn("key", F.concat(base, F.lit("-"), F.col("year").cast("string"), F.col("suffix")))
+
+
+def citations(drafts: DataFrame) -> DataFrame:
+    """One row a key: the first mention's words, and how many mentions and files there are."""
+    first = F.struct("file", "at")
+    return mentions(drafts).groupBy("key").agg(
+        F.min_by("authors_raw", first).alias("authors_raw"),
+        F.min_by("author", first).alias("author"),
+        F.min_by("year", first).alias("year"),
+        F.count("*").alias("n_mentions"),
+        F.countDistinct("file").alias("n_files"),
+    )
+
+
+def uncovered(spans: DataFrame, loose: DataFrame) -> DataFrame:
+    """Loose spans (file, lo, hi) that no structured span of their file contains."""
+    s = spans.select(F.col("file").alias("__f"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    return loose.join(s, (loose["file"] == F.col("__f")) & (F.col("__lo") <= loose["lo"]) & (loose["hi"] <= F.col("__hi")), "left_anti")
+
+
+def author_index(biblio: DataFrame) -> DataFrame:
+    """(author, slug, year): each work (slug, author_slug) under its own author and the prefixes of its slug."""
+    keys = biblio.select("slug", slug_year(F.col("slug")).alias("s"), F.col("author_slug"))
+    own = F.array_compact(F.array(F.when(F.col("author_slug") != "", F.col("author_slug"))))
+    return keys.select("slug", F.col("s.year").alias("year"), F.explode(F.array_distinct(F.concat(own, author_prefixes(F.col("s.body"))))).alias("author"))
+
+
+def _pieces(word: Column) -> Column:
+    """Keys of which words within EDITS edits share one: EDITS + 1 stretches of a word, tried at shifted places of the other.
+
+    Cut into three parts, a word within two edits leaves one part whole, at most two places off.
+    """
+    n = F.length(word)
+    cuts = F.array(F.lit(0), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int"), n)
+    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.get(cuts, i).alias("at"), F.substring(word, F.get(cuts, i) + 1, F.get(cuts, i + 1) - F.get(cuts, i)).alias("part")))
+
+
+def close_authors(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, edits): authors of the two sides, unequal and at most EDITS edits apart; blocked on parts that must agree."""
+    parts = known.select(F.col("author").alias("b"), F.explode(_pieces(F.col("author"))).alias("p")).select("b", "p.part", "p.at")
+    sizes = parts.select(F.length("part").alias("n")).distinct()
+    word = F.col("a")
+    grams = asked.select(F.col("author").alias("a")).crossJoin(F.broadcast(sizes))  # a number of lengths, at most that of the longest name
+    places = F.when(F.length(word) >= F.col("n"), F.sequence(F.lit(0), F.length(word) - F.col("n")))
+    grams = grams.select("a", "n", F.explode(places).alias("at")).select("a", "at", F.expr("substring(a, at + 1, n)").alias("part"))
+    near = grams.join(parts.withColumnRenamed("at", "at_b"), "part").where(F.abs(F.col("at") - F.col("at_b")) <= EDITS).select("a", "b").distinct()
+    return near.withColumn("edits", F.levenshtein("a", "b")).where((F.col("edits") <= EDITS) & (F.col("a") != F.col("b")))
+
+
+def tiers(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(key, tier, slug, edits, year_offset): candidates of the first tier that has any.
+
+    1: author and year; 2: author, any year; 3: author within EDITS edits (not CJK), year within YEARS; a
+    citation with no candidate has one row of tier 4. `asked` is (key, author, year, is_cjk).
+    """
+    asked = asked.withColumn("author", F.regexp_replace("author", "-+$", ""))
+    same = asked.join(index.withColumnRenamed("year", "y"), "author")
+    offset = F.when(F.coalesce("y", F.lit(0)) == 0, NO_YEAR).otherwise(F.abs(F.col("y") - F.col("year")))
+    exact = same.select("key", F.when(F.col("y") == F.col("year"), 1).otherwise(2).alias("tier"), "slug", F.lit(0).alias("edits"), offset.alias("year_offset"))
+    rest = asked.where("not is_cjk").join(same.select("key").distinct(), "key", "left_anti")
+    pairs = close_authors(rest.select("author").distinct(), index.select("author").distinct())
+    fuzzy = rest.join(pairs, rest["author"] == pairs["a"]).join(index.select(F.col("author").alias("b"), F.col("slug"), F.col("year").alias("y")), "b")
+    fuzzy = fuzzy.where((F.coalesce("y", F.lit(0)) != 0) & (F.abs(F.col("y") - F.col("year")) <= YEARS)).select("key", F.lit(3).alias("tier"), "slug", "edits", F.abs(F.col("y") - F.col("year")).alias("year_offset"))
+    found = exact.unionByName(fuzzy)
+    best = found.groupBy("key").agg(F.min("tier").alias("best"))
+    kept = found.join(best, "key").where("tier = best").drop("best")
+    missed = asked.select("key").distinct().join(best, "key", "left_anti").select("key", F.lit(4).alias("tier"), F.lit(None).cast("string").alias("slug"), F.lit(None).cast("int").alias("edits"), F.lit(None).cast("int").alias("year_offset"))
+    return kept.unionByName(missed)
+
+
+def statuses(found: DataFrame) -> DataFrame:
+    """(key, tier, status, n) by the number of candidates: miss, single-hit, multi-hit."""
+    n = F.count("slug")
+    return found.groupBy("key", "tier").agg(n.alias("n")).withColumn("status", F.when(F.col("n") == 0, "miss").when(F.col("n") == 1, "single-hit").otherwise("multi-hit"))
+
+
+def outcomes(states: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(key, outcome): decisions (key, decision) override; 'work:x' is emitted, 'new:x' pends; without one a hit is emitted and a miss skipped."""
+    d = states.join(decisions, "key", "left")
+    out = F.when(F.col("decision").startswith("work:"), "emitted").when(F.col("decision").startswith("new:"), "new_pending").when(F.col("status") == "miss", "skipped").when(F.col("status") == "multi-hit", "first_of_many").otherwise("emitted")
+    return d.select("key", out.alias("outcome"))
+
+
+def _escaped(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "([{}])", "\\\\$1"), "&", "\\\\&")
+
+
+def bibtex(entries: DataFrame) -> DataFrame:
+    """(key, entry): BibTeX of (key, kind, title, author, year, publisher)."""
+    kind = F.when(F.col("kind") == "paper", "article").when(F.col("kind") == "chapter", "incollection").otherwise("book")
+    line = lambda name: F.concat(F.lit(f"  {name} = {{"), _escaped(F.col(name)), F.lit("},"))
+    return entries.select("key", F.concat_ws("\n", F.concat(F.lit("@"), kind, F.lit("{"), F.col("key"), F.lit(",")), line("title"), line("author"), line("year"), line("publisher"), F.lit("}")).alias("entry"))
+
+
+def entry_lint(entries: DataFrame) -> DataFrame:
+    """(slug, code): what is wrong with (slug, title, author, year): missing fields, a year unlike the slug's, an author unlike it, noise in the title."""
+    s = slug_year(F.col("slug"))
+    falsy = lambda c: c.isNull() | (c.cast("string").isin("", "0"))
+    codes = F.array_compact(
+        F.array(
+            F.when(falsy(F.col("title")) | falsy(F.col("author")) | falsy(F.col("year")), "missing-required"),
+            F.when(s["year"].isNotNull() & ~falsy(F.col("year")) & (s["year"] != F.col("year")), "slug-year-mismatch"),
+            F.when(~falsy(F.col("author")) & ~F.array_contains(F.split(s["body"], "-"), F.lower(F.element_at(F.split(F.col("author"), " "), -1))), "author-slug-mismatch"),
+            F.when(F.col("title").rlike("\\([0-9]{4}\\)|_|\\.pdf$"), "title-has-noise"),
+        )
+    )
+    return entries.select("slug", F.explode(codes).alias("code"))

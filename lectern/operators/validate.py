@@ -1,0 +1,140 @@
+"""Validation and profiles: constraints, field coverage, type buckets, diagnostics, reports."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: type: (required fields, optional fields) of a collection's records; the schemas are closed.
+SCHEMAS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "author": (("name", "type"), ("themes", "born", "died")),
+    "book": (("authors", "title", "type", "year"), ("category", "isbn", "language", "original_title", "publisher", "rating", "subtitle", "themes", "translators")),
+    "chapter": (("book", "chapter", "title", "type"), ("pages", "rating", "themes")),
+    "image": (("creator", "date", "title", "type"), ("source", "url")),
+    "journal": (("name", "type"), ("issn", "publisher")),
+    "note": (("created", "title", "type"), ("themes",)),
+    "paper": (("authors", "themes", "title", "type", "year"), ("doi", "issue", "pages", "publisher", "rating", "venue", "volume")),
+    "talk": (("date", "speaker", "title", "type"), ("channel", "themes", "url")),
+    "topic": (("kind", "title", "type"), ("created", "subquestions", "themes")),
+    "translation": (("source", "target_language", "type"), ("title",)),
+    "webpage": (("captured_at", "title", "type", "url"), ("published", "site", "themes")),
+}
+ALIASES = {"article": "paper", "monograph": "book", "lecture": "talk", "person": "author", "site": "webpage", "subject": "topic", "picture": "image"}
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A constraint: rows for which `holds` is false break it; null counts as holding unless required."""
+
+    code: str
+    field: str
+    holds: Column
+
+
+def violations(rows: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
+    """(key, field, code), one row for each rule that a row breaks."""
+    found = F.array_compact(F.array(*[F.when(~F.coalesce(r.holds, F.lit(True)), F.struct(F.lit(r.field).alias("field"), F.lit(r.code).alias("code"))) for r in rules]))
+    return rows.select(key, F.explode(found).alias("v")).select(key, "v.field", "v.code")
+
+
+def required(field: str) -> Rule:
+    return Rule("missing", field, F.col(field).isNotNull())
+
+
+def within(field: str, low, high) -> Rule:
+    return Rule("out_of_range", field, F.col(field).between(low, high))
+
+
+def matches(field: str, pattern: str) -> Rule:
+    return Rule("malformed", field, F.col(field).rlike(pattern))
+
+
+def one_of(field: str, *values: str) -> Rule:
+    return Rule("not_allowed", field, F.col(field).isin(*values))
+
+
+def sized(field: str, low: int, high: int) -> Rule:
+    return Rule("bad_length", field, F.length(F.trim(field)).between(low, high))
+
+
+def type_bucket(raw: Column, aliases: DataFrame | None = None) -> Column:
+    """canonical, deprecated, missing or unknown, from the registry above."""
+    return F.when(raw.isNull() | (raw == ""), "missing").when(raw.isin(*SCHEMAS), "canonical").when(raw.isin(*ALIASES), "deprecated").otherwise("unknown")
+
+
+def canonical_type(raw: Column) -> Column:
+    lookup = F.create_map(*[F.lit(x) for p in ALIASES.items() for x in p])
+    return F.when(raw.isin(*SCHEMAS), raw).otherwise(F.element_at(lookup, raw))
+
+
+def header_violations(files: DataFrame) -> DataFrame:
+    """(path, field, code) of files (path, type, fields map<string,string>): unknown_type, missing, unexpected."""
+    known = F.col("type").isin(*SCHEMAS)
+    need = F.create_map(*[x for t, (r, _) in SCHEMAS.items() for x in (F.lit(t), F.array(*[F.lit(f) for f in r]))])
+    all_ = F.create_map(*[x for t, (r, o) in SCHEMAS.items() for x in (F.lit(t), F.array(*[F.lit(f) for f in (*r, *o)]))])
+    have = F.map_keys(F.map_filter("fields", lambda k, v: v.isNotNull() & (v != "")))
+    tag = lambda names, code: F.transform(names, lambda n: F.struct(n.alias("field"), F.lit(code).alias("code")))
+    found = F.when(~F.coalesce(known, F.lit(False)), F.array(F.struct(F.lit("type").alias("field"), F.lit("unknown_type").alias("code")))).otherwise(
+        F.concat(tag(F.array_except(F.element_at(need, F.col("type")), have), "missing"), tag(F.array_except(F.map_keys("fields"), F.element_at(all_, F.col("type"))), "unexpected"))
+    )
+    return files.select("path", F.explode(found).alias("v")).select("path", "v.field", "v.code")
+
+
+def field_coverage(rows: DataFrame, key: str, group: str, fields: list[str], examples: int = 5) -> DataFrame:
+    """(group, field, count, coverage, examples): rows of each group in which a field isn't empty, their share, and the first keys."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("f")
+    flat = rows.select(group, key, each).select(group, key, "f.field", (F.col("f.value").isNotNull() & (F.col("f.value") != "")).alias("has"))
+    # a row's rank among the group's rows that have the field bounds the lists before they are collected
+    rank = F.row_number().over(Window.partitionBy(group, "field").orderBy(F.col("has").desc(), key))
+    by = flat.withColumn("rank", rank).groupBy(group, "field").agg(
+        F.count(F.when(F.col("has"), 1)).alias("count"),
+        F.count("*").alias("__rows"),
+        F.sort_array(F.collect_list(F.when(F.col("has") & (F.col("rank") <= examples), F.col(key)))).alias("examples"),
+    )
+    return by.where(F.col("count") > 0).select(group, "field", "count", F.round(F.col("count") / F.col("__rows"), 4).alias("coverage"), "examples")
+
+
+def routed(found: DataFrame) -> DataFrame:
+    """Violations with severity, status and action by their code."""
+    code = F.col("code")
+    severity = F.when(code.isin("missing", "unknown_type"), "error").when(code == "out_of_range", "warning").otherwise("info")
+    status = F.when(code.isin("malformed", "bad_length"), "fixable").otherwise("manual")
+    action = F.when(code == "missing", "backfill").when(status == "fixable", "autofix").otherwise("review")
+    return found.withColumns({"severity": severity, "status": status, "action": action})
+
+
+def summary(diagnostics: DataFrame, by: str) -> DataFrame:
+    """Counts of diagnostics by group: all, errors, fixable ones; overall is fail with any error, else warn."""
+    is_ = lambda c, v: F.sum((F.col(c) == v).cast("long"))
+    out = diagnostics.groupBy(by).agg(F.count("*").alias("n"), is_("severity", "error").alias("errors"), is_("status", "fixable").alias("fixable"))
+    return out.withColumn("overall", F.when(F.col("errors") > 0, "fail").otherwise("warn"))
+
+
+def top_k(rows: DataFrame, group: str, value: str, k: int) -> DataFrame:
+    """(group, value, n, share, rank): the k most frequent values of each group, by value on ties."""
+    counts = rows.groupBy(group, value).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(group))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("n").desc(), value))
+    return counts.withColumns({"share": F.round(F.col("n") / total, 4), "rank": rank}).where(F.col("rank") <= k)
+
+
+def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """Rows of `child` whose key no row of `parent` has; a null key is an orphan."""
+    return child.join(parent.select(F.col(parent_key).alias("__parent")), child[key] == F.col("__parent"), "left_anti")
+
+
+def all_or_nothing(rows: DataFrame, key: str, good: Column) -> DataFrame:
+    """The rows of keys of which every row is good."""
+    ok = F.bool_and(F.coalesce(good, F.lit(False))).over(Window.partitionBy(key))
+    return rows.withColumn("__ok", ok).where("__ok").drop("__ok")
+
+
+def chapter_inventory(chapters: DataFrame, book: str = "book") -> DataFrame:
+    """(book, chapters, valid): whether slots, file names and slugs are all there and unique, and page pairs make sense."""
+    pages = (F.col("start").isNull() & F.col("end").isNull()) | ((F.col("start") >= 1) & (F.col("start") <= F.col("end")))
+    unique = lambda c: F.count(c) == F.countDistinct(c)
+    full = [F.count(c) == F.count("*") for c in ("slot", "filename", "slug")]
+    ok = F.bool_and(F.coalesce(pages, F.lit(False))) & unique("slot") & unique("filename") & unique("slug") & full[0] & full[1] & full[2]
+    return chapters.groupBy(book).agg(F.count("*").alias("chapters"), ok.alias("valid"))
