@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ARTICLES = "^(the|a|an)\\s+"
 CJK = "[\\x{3400}-\\x{9FFF}]"
@@ -73,7 +74,7 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / least)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_accents(text: pd.Series) -> pd.Series:
     """Decomposed, without combining marks; Spark has no function for it."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))

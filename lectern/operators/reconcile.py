@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import title_tokens, token_jaccard
+from lectern.operators.components import components
+from lectern.sources.tables import keep
 
 SIMILAR = 0.85
 
@@ -34,42 +36,45 @@ def is_empty(c: Column, kind: str = "string") -> Column:
     return c.isNull() | (c == "") if kind == "string" else c.isNull()
 
 
+def title_pairs(records: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(a, b), a < b: alike in title, with years at most one apart.
+
+    Each title is looked up by its rarest words alone, as many as must hold one that a similar title has
+    (and its rarest, for a title that holds all of its words), so frequent words make no blocks.
+    """
+    known = records.where("coalesce(year, 0) <> 0").select("rid", "year", title_tokens(F.col("title")).alias("words"))
+    words = known.select("rid", "year", F.explode("words").alias("word"))
+    rank = words.groupBy("word").agg(F.count("*").alias("n"))
+    by_rarity = F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda w: w["word"])
+    titles = words.join(rank, "word").groupBy("rid", "year").agg(by_rarity.alias("words"))
+    prefix = F.slice("words", F.lit(1), F.size("words") - F.ceil(F.size("words") * similar).cast("int") + 1)
+    probe = titles.select("rid", "words", F.explode(prefix).alias("word"), F.col("year").alias("y")).withColumn("year", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)))
+    index = titles.select(F.col("rid").alias("other"), F.col("words").alias("others"), F.explode("words").alias("word"), "year")
+    both = F.size(F.array_intersect("words", "others"))
+    met = probe.join(index, ["word", "year"]).where("rid <> other").where(token_jaccard(both, F.size("words"), F.size("others")) >= similar)
+    return met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
+
+
 def match_pairs(records: DataFrame, keys: tuple[str, ...], similar: float = SIMILAR) -> DataFrame:
-    """(a, b), a < b: equal in some key, or alike in title with years at most one apart.
+    """(a, b), a < b: equal in some key, or a pair of `title_pairs`.
 
-    A union of equi-joins, as one join over an OR would compare all pairs. Titles are blocked on their
-    words together with the year; a pair met by several words counts its shared words, so similarity comes
-    out of the same aggregate. Null, 0 years and empty keys match nothing.
+    A union of equi-joins, as one join over an OR would compare all pairs. Of a key that many records share
+    each is paired with the first in input order and with the one before it, which keeps components whole.
+    Null, 0 years and empty keys match nothing.
     """
-    parts = []
+    out = title_pairs(records, similar)
     for k in keys:
-        known = records.where(~is_empty(F.col(k))).select("rid", k)
-        x, y = known.alias("x"), known.alias("y")
-        parts.append(x.join(y, (F.col(f"x.{k}") == F.col(f"y.{k}")) & (F.col("x.rid") < F.col("y.rid"))).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")))
-    words = records.where("coalesce(year, 0) <> 0").select("rid", "year", title_tokens(F.col("title")).alias("w")).select("rid", "year", F.size("w").alias("n"), F.explode("w").alias("word"))
-    near = words.select("rid", "n", "word", "year", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("at"))
-    both = near.alias("x").join(words.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.at") == F.col("y.year")) & (F.col("x.rid") < F.col("y.rid")))
-    shared = both.groupBy(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).agg(F.count("*").alias("both"))
-    parts.append(shared.where(token_jaccard(F.col("both"), F.col("n_a"), F.col("n_b")) >= similar).select("a", "b"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+        w = Window.partitionBy(k).orderBy("src_ord", "pos")
+        known = records.where(~is_empty(F.col(k))).select(F.first("rid").over(w).alias("head"), F.lag("rid").over(w).alias("before"), "rid")
+        pairs = known.select("rid", F.explode(F.array("head", "before")).alias("other")).where("other is not null and other <> rid")
+        out = out.union(pairs.select(F.least("rid", "other"), F.greatest("rid", "other")))
     return out.distinct()
 
 
-def min_labels(nodes: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(rid, component): the least rid that pairs lead to. Each round is checkpointed to the shared folder, if there is one."""
-    edges = pairs.union(pairs.select("b", "a")).toDF("rid", "other")
-    label = nodes.select("rid", F.col("rid").alias("component"))
-    shared = nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
-    for _ in range(rounds):
-        best = edges.join(label.select(F.col("rid").alias("other"), "component"), "other").groupBy("rid").agg(F.min("component").alias("best"))
-        new = label.join(best, "rid", "left").select("rid", F.least("component", F.coalesce("best", "component")).alias("component"), (F.col("best") < F.col("component")).alias("moved"))
-        new = new.checkpoint() if shared else new.persist()
-        label = new.select("rid", "component")
-        if new.where("moved").isEmpty():
-            break
-    return label
+def min_labels(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rid, component): the least rid that pairs lead to."""
+    found = components(pairs.select("a", "b")).select(F.col("node").alias("__node"), "root")
+    return nodes.select("rid").join(found, F.col("rid") == F.col("__node"), "left").select("rid", F.coalesce("root", "rid").alias("component"))
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,6 +98,7 @@ def greedy_clusters(records: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A cluster never reaches over a connected component, so the order-dependent pass runs in each by itself.
     """
+    pairs = keep(pairs, "pairs")
     both = pairs.union(pairs.select("b", "a")).toDF("rid", "other").groupBy("rid").agg(F.collect_list("other").alias("matches"))
     rows = records.select("rid", "src", "src_ord", "pos").join(both, "rid", "left").join(min_labels(records, pairs), "rid")
     return rows.groupBy("component").applyInPandas(_greedy, "rid long, cluster long")
@@ -147,9 +153,9 @@ PAPER = Kind(keys=("doi",), priority={"year": ("openalex", "crossref"), "publish
 
 def ranked(merged: DataFrame, kind: str, top: int | None = None) -> DataFrame:
     """Books by sources, ratings and citations, papers by citations and year, all falling; the first `top`."""
-    has = lambda c: F.coalesce(F.col(c), F.lit(0)).desc() if c in merged.columns else F.lit(0)
-    order = [F.size("sources").desc(), has("ratings_count"), has("cited_by_count")] if kind == "book" else [has("cited_by_count"), has("year")]
-    out = merged.orderBy(*order, "cluster")
+    names = ("ratings_count", "cited_by_count") if kind == "book" else ("cited_by_count", "year")
+    order = [F.coalesce(F.col(c), F.lit(0)).desc() for c in names if c in merged.columns]
+    out = merged.orderBy(*([F.size("sources").desc()] if kind == "book" else []), *order, "cluster")
     return out if top is None else out.limit(top)
 
 

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import overlap, stars, year_in
 from lectern.operators.validate import ALIASES
@@ -15,6 +16,7 @@ HALF_TO_FULL = {",": "，", ";": "；", ":": "：", "?": "？", "!": "！"}
 _CJK = re.compile("[㐀-鿿]")
 _MASK = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]*`|\[\[[^\]]*\]\]|\]\([^)\n]*\)|https?://\S+", re.S)
 _PAREN = re.compile(r"\(([^()\n]*)\)")
+REPAIRED = T.StructType([T.StructField("text", T.StringType()), T.StructField("changes", T.IntegerType())])
 RENAMES = {"author": "authors", "theme": "themes", "published": "year", "press": "publisher"}
 
 
@@ -35,7 +37,7 @@ def _full_width(text: str) -> tuple[str, int]:
     return "".join(out), sum(a != b for a, b in zip(text, out, strict=True))
 
 
-@F.pandas_udf("struct<text:string,changes:int>")
+@F.pandas_udf(REPAIRED)
 def full_width_punctuation(text: pd.Series) -> pd.DataFrame:
     """Punctuation next to CJK in full width, outside code, links and addresses; Latin names that end in ! or ? keep theirs."""
     done = [(None, 0) if t is None else _full_width(t) for t in text]
@@ -55,7 +57,7 @@ def _corner(text: str) -> tuple[str, int]:
     return "".join(out), n
 
 
-@F.pandas_udf("struct<text:string,changes:int>")
+@F.pandas_udf(REPAIRED)
 def corner_quotes(text: pd.Series) -> pd.DataFrame:
     """Straight quotes around CJK as corner brackets."""
     return pd.DataFrame([(None, 0) if t is None else _corner(t) for t in text], columns=["text", "changes"])

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import strip
 
@@ -98,6 +99,7 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFram
 
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
+HEADINGS = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("title", T.StringType())]))
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 
 
@@ -117,7 +119,7 @@ def outside_fences(text: str) -> Iterator[tuple[int, str, bool]]:
             yield n, line, True
 
 
-@F.pandas_udf("array<struct<line:int,level:int,title:string>>")
+@F.pandas_udf(HEADINGS)
 def headings(text: pd.Series) -> pd.Series:
     """Headings outside fenced code; a text is one state machine, so this is no built-in expression."""
     out = []
@@ -131,7 +133,7 @@ def headings(text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nested_headings(text: pd.Series) -> pd.Series:
     """Headings two levels down, the sixth at most, outside fenced code."""
 

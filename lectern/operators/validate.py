@@ -86,14 +86,12 @@ def field_coverage(rows: DataFrame, key: str, group: str, fields: list[str], exa
     """(group, field, count, coverage, examples): rows of each group in which a field isn't empty, their share, and the first keys."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("f")
     flat = rows.select(group, key, each).select(group, key, "f.field", (F.col("f.value").isNotNull() & (F.col("f.value") != "")).alias("has"))
-    # a row's rank among the group's rows that have the field bounds the lists before they are collected
-    rank = F.row_number().over(Window.partitionBy(group, "field").orderBy(F.col("has").desc(), key))
-    by = flat.withColumn("rank", rank).groupBy(group, "field").agg(
-        F.count(F.when(F.col("has"), 1)).alias("count"),
-        F.count("*").alias("__rows"),
-        F.sort_array(F.collect_list(F.when(F.col("has") & (F.col("rank") <= examples), F.col(key)))).alias("examples"),
-    )
-    return by.where(F.col("count") > 0).select(group, "field", "count", F.round(F.col("count") / F.col("__rows"), 4).alias("coverage"), "examples")
+    counts = flat.groupBy(group, "field").agg(F.count(F.when(F.col("has"), 1)).alias("count"), F.count("*").alias("__rows"))
+    # the filter on the rank limits each partition's rows before they are shuffled
+    first = flat.where("has").withColumn("__r", F.row_number().over(Window.partitionBy(group, "field").orderBy(key))).where(F.col("__r") <= examples)
+    lists = first.groupBy(group, "field").agg(F.sort_array(F.collect_list(key)).alias("examples"))
+    out = counts.where(F.col("count") > 0).join(lists, [group, "field"])
+    return out.select(group, "field", "count", F.round(F.col("count") / F.col("__rows"), 4).alias("coverage"), "examples")
 
 
 def routed(found: DataFrame) -> DataFrame:

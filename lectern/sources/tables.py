@@ -1,10 +1,35 @@
-"""Named Parquet tables below a folder."""
+"""Named Parquet tables below a folder, and tables kept between steps."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table `name`: a Parquet file or a folder of them."""
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which every executor can reach.
+
+    Only where that is unset (tests on one machine) is a folder of this machine used, and only under
+    a local master.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: cuts lineage, survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
