@@ -93,7 +93,7 @@ def islands(lines: DataFrame, doc: str, pos: str, is_start: Column) -> DataFrame
 def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     """Events with their session's number: a new one after a gap of more than `gap_seconds`."""
     order = Window.partitionBy(key).orderBy(ts, *[c for c in ("event_id",) if c in events.columns])
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(order))
+    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(order).cast("timestamp"))
     rows = events.withColumn("__new", F.when(gap > gap_seconds * 1_000_000, 1).otherwise(0))
     return rows.withColumn("session", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 

@@ -1,0 +1,162 @@
+"""Queries: validation, profiles, diagnostics and reports over the reference tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.operators import repair, segment, transcript, validate
+from lectern.operators.validate import Rule
+from lectern.sources.tables import read_table
+
+
+def field_coverage(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents").select("doc_id", "lang", "source")
+    labels = read_table(spark, d, "labels").withColumn("quality", F.when(F.col("doc_id") % 2 == 0, F.col("quality")))
+    return validate.field_coverage(docs.join(labels, "doc_id", "left"), "doc_id", "lang", ["source", "quality", "toxic"])
+
+
+def type_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Event kinds as record types: present, former, missing and unknown ones."""
+    raw = F.when(F.col("event_type") == "view", "book").when(F.col("event_type") == "click", "article").when(F.col("event_type") == "signup", "person").when(F.col("event_type") == "error", "")
+    raw = F.coalesce(raw, F.when(F.col("event_id") % 2 == 0, "paper").otherwise("gadget"))
+    rows = read_table(spark, d, "events").select(validate.type_bucket(raw).alias("bucket"), validate.canonical_type(raw).alias("canonical"))
+    return rows.groupBy("bucket", "canonical").agg(F.count("*").alias("n"))
+
+
+def _rules() -> list[Rule]:
+    return [
+        validate.within("p_size", 5, 40),
+        validate.within("p_retailprice", 900.0, 990.0),
+        validate.one_of("p_type", "ECONOMY", "PROMO", "SMALL", "STANDARD"),
+        validate.matches("p_brand", "^Brand#[0-9]$"),
+        validate.sized("p_name", 8, 12),
+        validate.required("comment"),
+    ]
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    part = read_table(spark, d, "part").withColumn("comment", F.when(F.col("p_partkey") % 9 != 0, "ok"))
+    return validate.violations(part, "p_partkey", _rules())
+
+
+def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
+    return _broken(spark, d)
+
+
+def diagnostics_routing(spark: SparkSession, d: str) -> DataFrame:
+    return validate.routed(_broken(spark, d)).groupBy("code", "severity", "status", "action").agg(F.count("*").alias("n"))
+
+
+def diagnostics_summary(spark: SparkSession, d: str) -> DataFrame:
+    return validate.summary(validate.routed(_broken(spark, d)), "field")
+
+
+def top_errors_per_type(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events").select("event_type", (F.get_json_object("props", "$.k").cast("int") % 17).alias("code"))
+    return validate.top_k(e, "event_type", "code", 5)
+
+
+def modal_kind_ratio(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events").withColumn("kind_", F.when(F.col("user_id") % 3 == 0, F.when(F.col("event_id") % 7 == 0, F.col("event_type")).otherwise("view")).otherwise(F.col("event_type")))
+    return segment.modal(e, "user_id", "kind_", "event_id")
+
+
+def header_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as headers: papers, books with an unexpected field, and unknown types."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "paper").when(k % 3 == 1, "book").otherwise("gadget")
+    fields = F.map_from_arrays(F.array(F.lit("title"), F.lit("type"), F.lit("year"), F.lit("authors"), F.lit("shelf")), F.array(F.col("p_name"), kind, F.when(k % 2 == 0, "1999"), F.lit("A"), F.lit("x")))
+    return validate.header_violations(read_table(spark, d, "part").select(k.cast("string").alias("path"), kind.alias("type"), fields.alias("fields")))
+
+
+def text_repair_log(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as headers to repair: former names, ratings in stars, impossible years, empty fields."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 2 == 0, "article").otherwise("book")
+    fields = F.map_from_arrays(
+        F.array(F.lit("title"), F.lit("author"), F.lit("rating"), F.lit("year"), F.lit("publisher")),
+        F.array(F.col("p_name"), F.lit("A"), F.when(k % 3 == 0, "★★★").when(k % 3 == 1, "good").otherwise("4"), (k % 700 + 1400).cast("string"), F.when(k % 5 == 0, "").otherwise(F.col("p_brand"))),
+    )
+    out = repair.fix_header(read_table(spark, d, "part").select(k.alias("path"), kind.alias("type"), fields.alias("fields")))
+    return out.select("path", "type", F.element_at("fields", "rating").alias("rating"), F.element_at("fields", "year").alias("year"), F.array_join("changes", ";").alias("changes"))
+
+
+def chapter_inventories(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as books, their lines as chapters."""
+    li = read_table(spark, d, "lineitem")
+    rows = li.select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("slot"), F.col("l_linenumber").alias("filename"), F.col("l_partkey").alias("slug"), F.lit(1).alias("start"), F.col("l_linenumber").alias("end"))
+    return validate.chapter_inventory(rows)
+
+
+def complete_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of orders all of whose lines were returned or none open."""
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_linestatus")
+    return validate.all_or_nothing(li, "l_orderkey", F.col("l_linestatus") == "F").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def weighted_median_price(spark: SparkSession, d: str) -> DataFrame:
+    li = read_table(spark, d, "lineitem").select("l_returnflag", F.floor(F.col("l_extendedprice") / 100).cast("long").alias("price"), F.col("l_quantity").cast("long").alias("q"))
+    return segment.weighted_median(li, "l_returnflag", "price", "q")
+
+
+def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
+    s = segment.sessions(read_table(spark, d, "events").select("user_id", "event_id", "ts", "value"), "user_id", "ts", 6 * 3600)
+    return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+
+
+def agreed_map(spark: SparkSession, d: str) -> DataFrame:
+    part = read_table(spark, d, "part")
+    maps = part.where("p_partkey < 1000").select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("map_id"), F.col("p_partkey").alias("k"), "p_size")
+    maps = maps.where("not (map_id = 2 and k % 10 = 0)").select("map_id", "k", F.when((F.col("map_id") == 1) & (F.col("k") % 7 == 0), F.col("p_size") + 1).otherwise(F.col("p_size")).alias("v"))
+    return transcript.agreed_entries(maps)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        field_coverage, type_buckets, constraint_violations, diagnostics_routing, diagnostics_summary, top_errors_per_type, modal_kind_ratio, header_violations, text_repair_log,
+        chapter_inventories, complete_orders, weighted_median_price, gap_sessions, agreed_map,
+    )
+}
+
+_BROKEN = """
+p AS (SELECT *, CASE WHEN p_partkey % 9 <> 0 THEN 'ok' END AS comment FROM part),
+b AS (SELECT p_partkey, 'p_size' AS field, 'out_of_range' AS code FROM p WHERE p_size NOT BETWEEN 5 AND 40 UNION ALL SELECT p_partkey, 'p_retailprice', 'out_of_range' FROM p WHERE p_retailprice NOT BETWEEN 900 AND 990
+UNION ALL SELECT p_partkey, 'p_type', 'not_allowed' FROM p WHERE p_type NOT IN ('ECONOMY', 'PROMO', 'SMALL', 'STANDARD') UNION ALL SELECT p_partkey, 'p_brand', 'malformed' FROM p WHERE NOT regexp_full_match(p_brand, 'Brand#[0-9]')
+UNION ALL SELECT p_partkey, 'p_name', 'bad_length' FROM p WHERE length(p_name) NOT BETWEEN 8 AND 12 UNION ALL SELECT p_partkey, 'comment', 'missing' FROM p WHERE comment IS NULL)"""
+_ROUTED = """
+r AS (SELECT *, CASE WHEN code = 'missing' THEN 'error' WHEN code = 'out_of_range' THEN 'warning' ELSE 'info' END AS severity,
+  CASE WHEN code IN ('malformed', 'bad_length') THEN 'fixable' ELSE 'manual' END AS status,
+  CASE WHEN code = 'missing' THEN 'backfill' WHEN code IN ('malformed', 'bad_length') THEN 'autofix' ELSE 'review' END AS action FROM b)"""
+
+ORACLE_SQL = {
+    "field_coverage": """WITH j AS (SELECT d.doc_id, lang, source, CASE WHEN d.doc_id % 2 = 0 THEN quality END AS quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+u AS (SELECT lang, doc_id, 'source' AS field, source AS v FROM j UNION ALL SELECT lang, doc_id, 'quality', CAST(quality AS VARCHAR) FROM j UNION ALL SELECT lang, doc_id, 'toxic', CAST(toxic AS VARCHAR) FROM j)
+SELECT lang, field, count(v) AS count, round(count(v) / count(*), 4) AS coverage, list_sort(list(doc_id) FILTER (WHERE v IS NOT NULL))[1:5] AS examples FROM u GROUP BY lang, field HAVING count(v) > 0""",
+    "type_buckets": """WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'book' WHEN 'click' THEN 'article' WHEN 'signup' THEN 'person' WHEN 'error' THEN '' ELSE CASE WHEN event_id % 2 = 0 THEN 'paper' ELSE 'gadget' END END AS t FROM events)
+SELECT CASE WHEN t = '' THEN 'missing' WHEN t IN ('book', 'paper') THEN 'canonical' WHEN t IN ('article', 'person') THEN 'deprecated' ELSE 'unknown' END AS bucket,
+  CASE WHEN t IN ('book', 'paper') THEN t WHEN t = 'article' THEN 'paper' WHEN t = 'person' THEN 'author' END AS canonical, count(*) AS n FROM r GROUP BY 1, 2""",
+    "constraint_violations": f"WITH {_BROKEN} SELECT * FROM b",
+    "diagnostics_routing": f"WITH {_BROKEN}, {_ROUTED} SELECT code, severity, status, action, count(*) AS n FROM r GROUP BY ALL",
+    "diagnostics_summary": f"WITH {_BROKEN}, {_ROUTED} SELECT field, count(*) AS n, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE status = 'fixable') AS fixable, CASE WHEN bool_or(severity = 'error') THEN 'fail' ELSE 'warn' END AS overall FROM r GROUP BY field",
+    "top_errors_per_type": """WITH e AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) % 17 AS code FROM events), c AS (SELECT event_type, code, count(*) AS n FROM e GROUP BY ALL),
+r AS (SELECT *, round(n / sum(n) OVER (PARTITION BY event_type), 4) AS share, CAST(row_number() OVER (PARTITION BY event_type ORDER BY n DESC, code) AS INTEGER) AS rank FROM c) SELECT * FROM r WHERE rank <= 5""",
+    "modal_kind_ratio": """WITH e AS (SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 AND event_id % 7 <> 0 THEN 'view' ELSE event_type END AS k FROM events), c AS (SELECT user_id, k, count(*) AS n, min(event_id) AS f FROM e GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS o FROM c)
+SELECT user_id, CASE WHEN n / total < 0.6 THEN 'mixed' ELSE k END AS kind, n, CAST(total AS BIGINT) AS total FROM r WHERE o = 1""",
+    "header_violations": """WITH h AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_partkey % 3 AS m, p_partkey % 2 AS odd FROM part)
+SELECT path, 'type' AS field, 'unknown_type' AS code FROM h WHERE m = 2 UNION ALL SELECT path, 'shelf', 'unexpected' FROM h WHERE m < 2 UNION ALL SELECT path, 'themes', 'missing' FROM h WHERE m = 0 UNION ALL SELECT path, 'year', 'missing' FROM h WHERE m < 2 AND odd = 1""",
+    "text_repair_log": """WITH h AS (SELECT p_partkey AS path, p_partkey % 2 = 0 AS art, p_partkey % 3 AS m, p_partkey % 700 + 1400 AS y, p_partkey % 5 = 0 AS e FROM part)
+SELECT path, CASE WHEN art THEN 'paper' ELSE 'book' END AS type, CASE m WHEN 0 THEN '3' WHEN 2 THEN '4' END AS rating, CASE WHEN y BETWEEN 1500 AND 2030 THEN CAST(y AS VARCHAR) END AS year,
+  concat_ws(';', CASE WHEN m = 0 THEN 'changed: rating' END, CASE WHEN e THEN 'dropped: publisher' END, CASE WHEN m = 1 THEN 'dropped: rating' END, CASE WHEN y NOT BETWEEN 1500 AND 2030 THEN 'dropped: year' END, 'renamed: author',
+  CASE WHEN art THEN 'type: article to paper' END) AS changes FROM h""",
+    "chapter_inventories": "SELECT l_orderkey AS book, count(*) AS chapters, bool_and(l_linenumber >= 1) AND count(*) = count(DISTINCT l_linenumber) AND count(*) = count(DISTINCT l_partkey) AS valid FROM lineitem GROUP BY 1",
+    "complete_orders": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus <> 'F')",
+    "weighted_median_price": """WITH p AS (SELECT l_returnflag, CAST(floor(l_extendedprice / 100) AS BIGINT) AS price, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY price) AS run, sum(w) OVER (PARTITION BY l_returnflag) AS total FROM p) SELECT l_returnflag, min(price) AS median FROM r WHERE run >= total / 2 GROUP BY 1""",
+    "gap_sessions": """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 6 * 3600000000 THEN 1 ELSE 0 END AS new FROM events),
+s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g)
+SELECT user_id, session, count(*) AS n, min(ts) AS start, max(ts) AS "end" FROM s GROUP BY 1, 2""",
+    "agreed_map": "SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey < 1000 AND p_partkey % 10 <> 0 AND p_partkey % 7 <> 0",
+}

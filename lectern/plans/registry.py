@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import records
+from lectern.plans import checks, citing, records
 
-MODULES = (records,)
+MODULES = (records, checks, citing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "reconciled_records"
