@@ -9,15 +9,16 @@ that two places share hold an anchor that both have chosen. Plan:
    partial sums are made before the shuffle).
 2. The documents' texts are joined once to the places of their repeated anchors, and each place goes,
    with the hashes of the MIN_TOKENS - K tokens on its either side, to its anchor's bucket.
-3. In a bucket a place repeats an earlier one if some MIN_TOKENS tokens around the anchor are the
+3. In a bucket a place repeats an earlier document's if some MIN_TOKENS tokens around the anchor are the
    same. For each number t of tokens to the left that is an equality of one key, so partners are found
    by sorting, never by comparing all pairs; each is then extended both ways, token by token.
    Buckets over HOT places are split by these keys in Spark's own aggregation instead.
 4. Stretches of one pair of documents on one diagonal that touch are joined to one repeat. A longer
    match holds further anchors, so what step 3 couldn't see beyond its context comes in here.
 
-Every token of a document that lies in MIN_TOKENS tokens met at an earlier place is in a repeat, and
-each repeat is told of the earliest such place; thousands of holders give as many rows, not pairs.
+Every token of a document that lies in MIN_TOKENS tokens met in an earlier document is in a repeat,
+and each repeat is told of the first such place; thousands of holders give as many rows, not pairs.
+Repeats within one document are not reported.
 """
 
 from __future__ import annotations
@@ -173,9 +174,9 @@ def match_places(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, context:
     for rows, key in window_keys(anchor, context, c):
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
         source = rows[first][which]
-        other = source != rows
+        other = doc[source] != doc[rows]
         found.append(rows[other] * len(anchor) + source[other])
-    pairs = np.unique(np.concatenate(found))
+    pairs = np.unique(np.concatenate(found))  # a source is another document's place
     i, s = pairs // len(anchor), pairs % len(anchor)
     reach = [((context[i, a : a + c] == context[s, a : a + c]) & (context[i, a : a + c] != 0)).cumprod(axis=1).sum(axis=1) for a in (0, c)]
     return np.stack([doc[i], doc[s], pos[i] - pos[s], pos[i] - reach[0], pos[i] + k + reach[1]], axis=1)
@@ -225,7 +226,7 @@ def _hot_matches(places: DataFrame, min_tokens: int) -> DataFrame:
     """What `_match` finds, by keys in Spark's aggregation: partial minima, no bucket in one task."""
     keys = keep(places.mapInArrow(_keys(min_tokens), "key long, doc_id long, begin long"), "keys")
     first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("own"), F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(first, "key").where("own.doc_id <> doc_id or own.begin <> begin")
+    rows = keys.join(first, "key").where("own.doc_id <> doc_id")
     return rows.select("doc_id", F.col("own.doc_id").alias("source_id"), (F.col("begin") - F.col("own.begin")).alias("diagonal"), "begin", (F.col("begin") + min_tokens).alias("end"))
 
 
@@ -241,7 +242,7 @@ def joined_stretches(rows: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_tokens: int = MIN_TOKENS, hot: int = HOT) -> DataFrame:
     """(doc_id, begin, end, n_tokens, source_id, source_begin): tokens begin .. end of a document are those from source_begin on of an earlier one.
 
-    Earlier is by (doc_id, token); a document can repeat itself. Tokens are runs of letters and digits in
+    Earlier is by doc_id, the first place in it counts; what a document repeats of itself is left out. Tokens are runs of letters and digits in
     lower case, so case, punctuation and white space don't count. A document equal to an earlier one, as a
     token sequence, is reported as one repeat of it; passages shared with others are then told of the
     earlier one alone. Null, empty and short texts (under min_tokens) repeat nothing, rows with a null
