@@ -1,34 +1,19 @@
-"""Tables kept between steps, and checks on what a driver or an executor holds."""
+"""Tables kept between steps, and columns worked out once."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from lectern.sources.tables import keep, read_table, shared_path
 
-from lectern.sources.tables import read_table
+__all__ = ["keep", "once", "read_table", "shared_path"]
 
-__all__ = ["read_table", "shared_path", "keep"]
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with one more column, worked out once a row.
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can reach.
-
-    Only where that is unset (tests on one machine) is a folder of this machine used, and only under
-    a local master.
+    Spark puts a column's expression wherever it is used, above all into filters that it moves down, so an
+    expensive one would be worked out several times. It doesn't look through the explode of one element.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.select("*", F.explode(F.array(value)).alias(name))

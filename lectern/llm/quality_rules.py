@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm._tables import keep, read_table
+from lectern.llm._tables import keep, once, read_table
 
 #: A line is removed if more distinct documents of its host hold it than both of these allow.
 MIN_DOCS = 10
@@ -69,20 +69,32 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed", "kept")
     often = keep(frequent_lines(docs).select("host", "key"), "frequent")
+    size = often.groupBy("host").count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    if often.count() <= broadcast_rows:
-        by_host = often.groupBy("host").agg(F.collect_set("key").alias("__often"))
-        joined = docs.join(F.broadcast(by_host), host == by_host["host"], "left").drop("host")
+    # a line is looked for in one of many small lists, not in all of its host's
+    lists = 1 << min(12, max(0, (size["most"] or 1).bit_length() - 2))
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(lists)).cast("int")
+    none = F.array().cast("array<string>")
+    if (size["all"] or 0) <= broadcast_rows:
+        by_list = often.groupBy("host", place(F.col("key")).alias("at")).agg(F.collect_set("key").alias("keys"))
+        by_host = by_list.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("at", "keys"))).alias("m"))
+        by_host = by_host.select(F.col("host").alias("__host"), F.transform(F.sequence(F.lit(0), F.lit(lists - 1)), lambda i: F.coalesce(F.element_at("m", i), none)).alias("__often"))
+        joined = docs.join(F.broadcast(by_host), host == by_host["__host"], "left")
+        known = lambda key: F.array_contains(F.get("__often", place(key)), key)
     else:
         base = docs.select(F.col("doc_id").alias("__doc"), host.alias("host"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _counted), line_key))).alias("key"))
-        mine = base.distinct().join(often, ["host", "key"]).groupBy("__doc", "host").agg(F.collect_set("key").alias("__often"))
-        joined = docs.join(mine, docs["doc_id"].eqNullSafe(mine["__doc"]) & (host == mine["host"]), "left").drop("__doc", "host")
+        mine = base.distinct().join(often, ["host", "key"]).groupBy("__doc", F.col("host").alias("__host")).agg(F.collect_set("key").alias("__often"))
+        joined = docs.join(mine, docs["doc_id"].eqNullSafe(mine["__doc"]) & (host == mine["__host"]), "left")
+        known = lambda key: F.array_contains("__often", key)
     lines = _lines(F.col("text"))
     bare = lambda c: F.length(F.regexp_replace(c, "\\s+", ""))
-    # only documents with some frequent line are split and put together again
-    hit = F.array_intersect(F.transform(F.filter(lines, _counted), line_key), F.col("__often"))
-    left = F.filter(lines, lambda x: ~(_counted(x) & F.array_contains(F.col("__hit"), line_key(x))))
-    out = joined.withColumn("__hit", F.when(F.col("__often").isNotNull(), hit)).withColumn("__left", F.when(F.size("__hit") > 0, left))
+    # lines are normalised once; null where they don't count
+    keys = F.transform(lines, lambda x: F.when(F.length(x) <= MAX_LINE_CHARS, line_key(x)))
+    gone = F.transform("__keys", lambda k: F.coalesce(k != "", F.lit(False)) & known(k))
+    out = once(joined, "__keys", F.when(F.col("__often").isNotNull(), keys))
+    out = once(out, "__gone", gone)
+    left = F.filter(lines, lambda x, i: ~F.get("__gone", i))
+    out = once(out, "__left", F.when(F.array_contains("__gone", True), left))
     text = F.when(F.col("__left").isNotNull(), F.array_join("__left", "\n")).otherwise(F.col("text"))
     n = F.size(lines).cast("long")
     out = out.withColumns({"__text": text, "n_lines": n, "n_removed": F.coalesce(n - F.size("__left"), F.lit(0)).cast("long")})
