@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import _text as T
-from lectern.llm._tables import read_table, shared_path
+from lectern.llm._tables import once, read_table, shared_path
 
 SHARD_LINES = 250_000
 REFS = "shard int, k1 long, k2 long, batch int, doc_id long, line_no int, n long"
@@ -250,7 +250,8 @@ def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     lines = split_lines(F.col("text"))
     at = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     some = F.col("__gone").isNotNull()
-    out = out.withColumn("__lines", lines).withColumn("__left", F.when(some, F.transform(at, lambda i: F.element_at("__lines", i + 1))).otherwise(F.col("__lines")))
+    out = once(out, "__lines", lines)
+    out = once(out, "__left", F.when(some, F.transform(at, lambda i: F.element_at("__lines", i + 1))).otherwise(F.col("__lines")))
     text = F.when(some, F.array_join("__left", "\n")).otherwise(F.col("text"))
     out = out.withColumns({"__text": text, "n_lines": F.size("__lines").cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
     out = out.withColumn("n_left", F.size(F.filter("__left", lambda x: trimmed(x) != "")).cast("long"))
