@@ -109,7 +109,7 @@ def transcript_states(segments: DataFrame, noise: tuple[str, ...] = NOISE) -> Da
     """
     hits = sum(((F.length("text") - F.length(F.replace("text", F.lit(p), F.lit("")))) / len(p)).cast("int") for p in noise)
     blank = F.col("text").contains("[BLANK_AUDIO]").cast("int")
-    a = segments.groupBy("doc").agg(F.count("text").alias("n"), (F.countDistinct("text") / F.count("text")).alias("uniq"), F.sum(F.length("text")).alias("chars"), F.sum(hits).alias("noise"), F.sum(blank).alias("blank"))
+    a = segments.groupBy("doc").agg(F.count("text").alias("n"), F.coalesce(F.try_divide(F.countDistinct("text"), F.count("text")), F.lit(0.0)).alias("uniq"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.sum(hits), F.lit(0)).alias("noise"), F.coalesce(F.sum(blank), F.lit(0)).alias("blank"))
     dead = (F.col("blank") >= F.greatest(F.lit(3.0), F.col("n") * 0.4)) | (F.col("noise") >= 8) | ((F.col("n") >= 10) & (F.col("uniq") < 0.25)) | (F.col("chars") < 200)
     return a.withColumn("state", F.when(F.col("n") == 0, "empty").when(dead, "dead").otherwise("live")).drop("blank")
 
