@@ -59,7 +59,7 @@ class Items:
         rows = [data[at[i] : at[i + 1]] for i in range(len(texts))]
         rows = [r[:-1] if len(r) else r for r in rows]  # without the closing space
         use = [i for i, r in enumerate(rows) if len(r) >= Q]
-        self.ids = np.array([ids[i] for i in use], np.int64)
+        self.ids = [ids[i] for i in use]
         self.rows = [rows[i] for i in use]
         self.n = np.array([len(r) for r in self.rows], np.int64)
         self.e = np.array([edit_budget(int(n), rate) for n in self.n], np.int64)
@@ -186,7 +186,7 @@ def _finder(shared) -> object:
                 r, k, cost, begin, end = (np.array(x, np.int64) for x in zip(*rows, strict=True))
                 ids = batch.column(0).take(pa.array(r))
                 small = [pa.array(x.astype(np.int32)) for x in (cost, items.n[k], begin, end)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(items.ids[k]), *small], ["doc_id", "item_id", "edits", "item_chars", "found_at", "found_end"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[i] for i in k], pa.int64()), *small], ["doc_id", "item_id", "edits", "item_chars", "found_at", "found_end"])
 
     return run
 
@@ -206,7 +206,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, i
 
     Texts are compared in lower case, runs of other characters than letters and digits as one space;
     places and lengths count such characters. On ties of edits the first place is reported. Items of
-    fewer than Q characters hold no q-gram and are never reported; so are null items. Null and empty
+    fewer than Q characters hold no q-gram and are never reported, nor null ones; a null item_id is reported as such. Null and empty
     documents match nothing. Rows with a null doc_id are reported with a null doc_id. Repeated documents
     and repeated items are each reported. Empty tables give an empty result; other columns aren't looked at.
     """

@@ -245,18 +245,18 @@ class LineStore:
 
 def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents' columns, `text` without the lines (doc_id, line_no), and n_lines, n_removed and n_left (lines that aren't blank)."""
-    by_doc = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line_no").alias("__gone"))
-    out = docs.drop("n_lines", "n_removed", "n_left").join(by_doc, docs["doc_id"] == by_doc["__doc"], "left")
+    by_doc = gone.groupBy(F.col("doc_id").alias("_lectern_doc")).agg(F.collect_set("line_no").alias("_lectern_gone"))
+    out = docs.drop("n_lines", "n_removed", "n_left").join(by_doc, docs["doc_id"] == by_doc["_lectern_doc"], "left")
     lines = split_lines(F.col("text"))
-    at = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    some = F.col("__gone").isNotNull()
-    out = once(out, "__lines", lines)
-    out = once(out, "__left", F.when(some, F.transform(at, lambda i: F.element_at("__lines", i + 1))).otherwise(F.col("__lines")))
-    text = F.when(some, F.array_join("__left", "\n")).otherwise(F.col("text"))
-    out = out.withColumns({"__text": text, "n_lines": F.size("__lines").cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    out = out.withColumn("n_left", F.size(F.filter("__left", lambda x: trimmed(x) != "")).cast("long"))
+    at = F.array_except(F.sequence(F.lit(0), F.size("_lectern_lines") - 1), F.col("_lectern_gone"))
+    some = F.col("_lectern_gone").isNotNull()
+    out = once(out, "_lectern_lines", lines)
+    out = once(out, "_lectern_left", F.when(some, F.transform(at, lambda i: F.element_at("_lectern_lines", i + 1))).otherwise(F.col("_lectern_lines")))
+    text = F.when(some, F.array_join("_lectern_left", "\n")).otherwise(F.col("text"))
+    out = out.withColumns({"_lectern_text": text, "n_lines": F.size("_lectern_lines").cast("long"), "n_removed": F.coalesce(F.size("_lectern_gone"), F.lit(0)).cast("long")})
+    out = out.withColumn("n_left", F.size(F.filter("_lectern_left", lambda x: trimmed(x) != "")).cast("long"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_left")]
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], "n_lines", "n_removed", "n_left")
+    return out.select(*[F.col("_lectern_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], "n_lines", "n_removed", "n_left")
 
 
 def shards_for(docs: DataFrame, lines_per_doc: int = 16) -> int:

@@ -243,8 +243,8 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with their columns, of which each group keeps that of least doc_id."""
-    gone = near_groups(docs, threshold).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = near_groups(docs, threshold).select(F.col("doc_id").alias("_lectern_gone")).distinct()
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_lectern_gone"], "left_anti")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,28 +78,28 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     if (size["all"] or 0) <= broadcast_rows:
         by_list = often.groupBy("host", place(F.col("key")).alias("at")).agg(F.collect_set("key").alias("keys"))
         by_host = by_list.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("at", "keys"))).alias("m"))
-        by_host = by_host.select(F.col("host").alias("__host"), F.transform(F.sequence(F.lit(0), F.lit(lists - 1)), lambda i: F.coalesce(F.element_at("m", i), none)).alias("__often"))
-        joined = docs.join(F.broadcast(by_host), host == by_host["__host"], "left")
-        known = lambda key: F.array_contains(F.get("__often", place(key)), key)
+        by_host = by_host.select(F.col("host").alias("_lectern_host"), F.transform(F.sequence(F.lit(0), F.lit(lists - 1)), lambda i: F.coalesce(F.element_at("m", i), none)).alias("_lectern_often"))
+        joined = docs.join(F.broadcast(by_host), host == by_host["_lectern_host"], "left")
+        known = lambda key: F.array_contains(F.get("_lectern_often", place(key)), key)
     else:
-        base = docs.select(F.col("doc_id").alias("__doc"), host.alias("host"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _counted), line_key))).alias("key"))
-        mine = base.distinct().join(often, ["host", "key"]).groupBy("__doc", F.col("host").alias("__host")).agg(F.collect_set("key").alias("__often"))
-        joined = docs.join(mine, docs["doc_id"].eqNullSafe(mine["__doc"]) & (host == mine["__host"]), "left")
-        known = lambda key: F.array_contains("__often", key)
+        base = docs.select(F.col("doc_id").alias("_lectern_doc"), host.alias("host"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _counted), line_key))).alias("key"))
+        mine = base.distinct().join(often, ["host", "key"]).groupBy("_lectern_doc", F.col("host").alias("_lectern_host")).agg(F.collect_set("key").alias("_lectern_often"))
+        joined = docs.join(mine, docs["doc_id"].eqNullSafe(mine["_lectern_doc"]) & (host == mine["_lectern_host"]), "left")
+        known = lambda key: F.array_contains("_lectern_often", key)
     lines = _lines(F.col("text"))
     bare = lambda c: F.length(F.regexp_replace(c, "\\s+", ""))
     # lines are normalised once; null where they don't count
     keys = F.transform(lines, lambda x: F.when(F.length(x) <= MAX_LINE_CHARS, line_key(x)))
-    gone = F.transform("__keys", lambda k: F.coalesce(k != "", F.lit(False)) & known(k))
-    out = once(joined, "__keys", F.when(F.col("__often").isNotNull(), keys))
-    out = once(out, "__gone", gone)
-    left = F.filter(lines, lambda x, i: ~F.get("__gone", i))
-    out = once(out, "__left", F.when(F.array_contains("__gone", True), left))
-    text = F.when(F.col("__left").isNotNull(), F.array_join("__left", "\n")).otherwise(F.col("text"))
+    gone = F.transform("_lectern_keys", lambda k: F.coalesce(k != "", F.lit(False)) & known(k))
+    out = once(joined, "_lectern_keys", F.when(F.col("_lectern_often").isNotNull(), keys))
+    out = once(out, "_lectern_gone", gone)
+    left = F.filter(lines, lambda x, i: ~F.get("_lectern_gone", i))
+    out = once(out, "_lectern_left", F.when(F.array_contains("_lectern_gone", True), left))
+    text = F.when(F.col("_lectern_left").isNotNull(), F.array_join("_lectern_left", "\n")).otherwise(F.col("text"))
     n = F.size(lines).cast("long")
-    out = out.withColumns({"__text": text, "n_lines": n, "n_removed": F.coalesce(n - F.size("__left"), F.lit(0)).cast("long")})
-    out = out.withColumn("kept", (F.col("n_removed") == 0) | (bare(F.col("__text")) >= bare(F.col("text")) * MIN_LEFT))
-    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_removed", "kept")
+    out = out.withColumns({"_lectern_text": text, "n_lines": n, "n_removed": F.coalesce(n - F.size("_lectern_left"), F.lit(0)).cast("long")})
+    out = out.withColumn("kept", (F.col("n_removed") == 0) | (bare(F.col("_lectern_text")) >= bare(F.col("text")) * MIN_LEFT))
+    return out.select(*[F.col("_lectern_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "n_lines", "n_removed", "kept")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:

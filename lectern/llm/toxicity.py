@@ -197,13 +197,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     most = F.when(F.col("toxic") == 1, max_toxic).otherwise(max_clean)
-    ids = known.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= max(max_toxic, max_clean)).where(F.col("__r") <= most).select(F.col("doc_id").alias("__id"), "toxic")
+    ids = known.withColumn("_lectern_r", F.row_number().over(order)).where(F.col("_lectern_r") <= max(max_toxic, max_clean)).where(F.col("_lectern_r") <= most).select(F.col("doc_id").alias("_lectern_id"), "toxic")
     # at most max_toxic + max_clean rows
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("__id")).select("__id", "text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_lectern_id")).select("_lectern_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    rows = labelled_sample(docs, labels).toArrow().sort_by([("__id", "ascending"), ("text", "ascending")])
+    rows = labelled_sample(docs, labels).toArrow().sort_by([("_lectern_id", "ascending"), ("text", "ascending")])
     return fit(T.strings(rows.column("text")), rows.column("toxic").to_numpy() == 1)
 
 

@@ -143,8 +143,8 @@ def apply_policy(pages: DataFrame, entries: DataFrame, url: str = "url", trie_by
         schema = T.StructType([*pages.schema.fields, T.StructField("rule", T.StringType()), T.StructField("entry", T.StringType())])
         out = pages.mapInArrow(_matcher(shared, pages.columns.index(url)), schema)
     else:
-        found = _by_join(pages.select(F.col(f"`{url}`").alias("url")).distinct(), entries).withColumnRenamed("url", "__url")
-        out = pages.join(found, pages[url] == found["__url"], "left").drop("__url")
+        found = _by_join(pages.select(F.col(f"`{url}`").alias("url")).distinct(), entries).withColumnRenamed("url", "_lectern_url")
+        out = pages.join(found, pages[url] == found["_lectern_url"], "left").drop("_lectern_url")
     return out.withColumn("kept", F.coalesce(F.col("rule") != "block", F.lit(True)))
 
 
