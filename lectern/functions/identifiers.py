@@ -35,7 +35,7 @@ def doi(value: Column) -> Column:
 
 
 def first_doi(text: Column) -> Column:
-    found = F.regexp_extract(text, "(?i)\\b(10\\.[0-9]{4,9}/[-._;()/:A-Z0-9]+)\\b", 1)
+    found = F.regexp_extract(text, "(?i)\\b(10\\.[0-9]{4,9}/[a-z0-9:/()._;-]+)\\b", 1)
     return F.when(found != "", found)
 
 
@@ -70,7 +70,7 @@ def collision_slug(base: Column, url: Column) -> Column:
 
 
 def valid_slug(value: Column) -> Column:
-    return F.coalesce(value.rlike("^[a-z0-9][a-z0-9-]*$") & F.length(value).between(2, 80), F.lit(False))
+    return F.coalesce(value.rlike("^[0-9a-z][0-9a-z-]*$") & F.length(value).between(2, 80), F.lit(False))
 
 
 def slug_year(slug: Column) -> Column:

@@ -83,7 +83,7 @@ def without_accents(text: pd.Series) -> pd.Series:
 def surname_slug(name: Column) -> Column:
     """Lower case, no accents or apostrophes, words joined by hyphens, ASCII letters and digits only."""
     bare = F.regexp_replace(without_accents(strip(name)), "['’`]", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(bare, "\\s+", "-"), "[^a-zA-Z0-9-]", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(bare, "\\s+", "-"), "[^0-9A-Za-z-]", ""))
 
 
 def author_parts(raw: Column) -> Column:

@@ -15,7 +15,7 @@ from lectern.operators.validate import ALIASES
 HALF_TO_FULL = {",": "，", ";": "；", ":": "：", "?": "？", "!": "！"}
 _CJK = re.compile("[㐀-鿿]")
 _MASK = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]*`|\[\[[^\]]*\]\]|\]\([^)\n]*\)|https?://\S+", re.S)
-_PAREN = re.compile(r"\(([^()\n]*)\)")
+_PAREN = re.compile(r"[(]([^\n()]*)[)]")
 REPAIRED = T.StructType([T.StructField("text", T.StringType()), T.StructField("changes", T.IntegerType())])
 RENAMES = {"author": "authors", "theme": "themes", "published": "year", "press": "publisher"}
 

@@ -98,9 +98,9 @@ def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFram
     return rows.withColumn("session", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
+_FENCE = re.compile(r"^\x20{0,3}([`]{3,}|[~]{3,})(.*)$")
 HEADINGS = T.ArrayType(T.StructType([T.StructField("line", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("title", T.StringType())]))
-_HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
+_HEADING = re.compile(r"^([#]{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
 
 
 def outside_fences(text: str) -> Iterator[tuple[int, str, bool]]:

@@ -139,7 +139,7 @@ def weakest(ratios: DataFrame, k: int = 5) -> DataFrame:
     return ratios.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("ratio", "pair"))).where(F.col("rank") <= k)
 
 
-def primary_engine(runs: DataFrame, preference: tuple[str, ...] = ("soniox", "whisper", "apple", "parakeet")) -> DataFrame:
+def primary_engine(runs: DataFrame, preference: tuple[str, ...] = tuple("soniox whisper apple parakeet".split())) -> DataFrame:
     """(talk, engine): the engine liked best among those whose runs (talk, engine, n_segments) aren't empty."""
     rank = F.array_position(F.array(*[F.lit(p) for p in preference]), F.col("engine"))
     return runs.where("n_segments > 0").groupBy("talk").agg(F.min_by("engine", F.struct(F.when(rank > 0, rank).otherwise(99), "engine")).alias("engine"))

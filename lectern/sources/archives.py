@@ -47,7 +47,7 @@ def epub_members(data: bytes) -> list[tuple[str, str | None, str]]:
             body = text(opf)
             hrefs = {_attr(t, "id"): _attr(t, "href") for t in re.findall(r"<item\b[^>]*>", body)}
             order += [m for t in re.findall(r"<itemref\b[^>]*>", body) if (m := find(hrefs.get(_attr(t, "idref"), ""), posixpath.dirname(opf)))]
-        order = order or list(titles) or sorted(n for n in names if n.lower().endswith((".xhtml", ".html", ".htm")))
+        order = order or list(titles) or sorted(n for n in names if n.lower().endswith((".htm", ".html", ".xhtml")))
         return [(n, titles.get(n), text(n)) for n in dict.fromkeys(order)]
 
 

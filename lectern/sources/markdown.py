@@ -81,7 +81,7 @@ def read_markdown(spark: SparkSession, folder: str, names: str = "*.md") -> Data
 
 def header_text(fields: Column) -> Column:
     """A header of the fields in alphabetical order, without empty ones; text in double quotes where it needs them."""
-    quoted = lambda v: F.when(v.rlike("^\\[.*\\]$") | v.rlike("^[A-Za-z0-9][A-Za-z0-9 _./-]*$"), v).otherwise(F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('\\"')), F.lit('"')))
+    quoted = lambda v: F.when(v.rlike("^\\[.*\\]$") | v.rlike("^[0-9A-Za-z][-/._ 0-9A-Za-z]*$"), v).otherwise(F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('\\"')), F.lit('"')))
     entries = F.array_sort(F.map_entries(F.map_filter(fields, lambda k, v: v.isNotNull() & (v != "") & (v != "[]"))))
     lines = F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), quoted(e["value"])))
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"))
