@@ -10,11 +10,15 @@ Plan, for n documents:
    are sorted by bucket. A task reads a bucket row by row and holds its leaders alone: a row is a
    candidate with the leader of most equal registers, if their estimate reaches THRESHOLD - BELOW,
    and becomes a leader itself unless the estimate reaches THRESHOLD + ABOVE. So a bucket of k gives
-   at most k - 1 pairs, not k(k - 1)/2, and no row goes unpaired for having met a dissimilar leader.
+   at most k - 1 pairs, not k(k - 1)/2, and most of each group is found.
 3. Candidates are verified by the exact Jaccard similarity of the shingle sets. The texts are shuffled
    once to meet their pairs, then lie sorted behind their leader, so a task holds one leader's set
    and one batch, however many partners there are; leaders with many partners are salted.
-4. Verified pairs are grouped by union-find; with them come the exact copies.
+4. Verified pairs are grouped by union-find. Buckets that hold rows of several groups are read again,
+   and every pair of rows of two groups whose estimate reaches THRESHOLD - BELOW is verified too. So
+   each pair that meets in a bucket with such an estimate is either verified or in one group already.
+   Buckets over BLOCK rows are dealt out as pairs of blocks.
+5. All verified pairs are grouped; with them come the exact copies.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ BELOW = 0.1
 ABOVE = 0.05
 #: Partners of one leader that a task verifies; more are spread over salts.
 PER_TASK = 4096
+#: Rows of one bucket that are compared with each other in one piece.
+BLOCK = 4096
 
 _UNSET = T.U64(0xFFFFFFFFFFFFFFFF)
 SIGNED = "doc_id long, fp1 long, fp2 long, n long, bands array<long>, sig binary"
@@ -123,18 +129,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _equal_registers(estimate: float) -> int:
+    """Registers cut to a byte agree by chance in one of 256."""
+    return int(np.ceil(BANDS * ROWS * (estimate + (1 - estimate) / 256)))
+
+
+def _signatures(column: pa.BinaryArray) -> np.ndarray:
+    m = BANDS * ROWS
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[column.offset * m :][: len(column) * m].reshape(-1, m)
+
+
 def _pair(threshold: float):
     """Rows (key, doc_id, sig) by key and doc_id to candidates (leader, member)."""
     m = BANDS * ROWS
-    # registers cut to a byte agree by chance in one of 256
-    least, joins = (int(np.ceil(m * (x + (1 - x) / 256))) for x in (threshold - BELOW, threshold + ABOVE))
+    least, joins = _equal_registers(threshold - BELOW), _equal_registers(threshold + ABOVE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leaders, ids, n = None, np.empty((16, m), np.uint8), [], 0
         for batch in batches:
             keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            column = batch.column(2)
-            rows = np.frombuffer(column.buffers()[2] or b"", np.uint8)[column.offset * m :][: len(column) * m].reshape(-1, m)
+            rows = _signatures(batch.column(2))
             out: list[tuple[int, int]] = []
             for i, k in enumerate(keys.tolist()):
                 if k != key:
@@ -159,6 +173,46 @@ def _pair(threshold: float):
     return run
 
 
+def _across(threshold: float):
+    """Rows (key, cell, side, doc_id, root, sig) by key, cell and side to all candidates of different roots: those of side 0 with each other and with those of side 1."""
+    m = BANDS * ROWS
+    least = _equal_registers(threshold - BELOW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, n = None, 0
+        held, ids, roots = np.empty((16, m), np.uint8), np.empty(16, np.int64), np.empty(16, np.int64)
+        for batch in batches:
+            keys, cells, side, docs, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            rows = _signatures(batch.column(5))
+            for i, here in enumerate(zip(keys.tolist(), cells.tolist(), strict=True)):
+                if here != place:
+                    place, n = here, 0
+                if n:
+                    other = np.flatnonzero(roots[:n] != root[i])
+                    met = ids[other[np.count_nonzero(held[other] == rows[i], axis=1) >= least]]
+                    met = met[met != docs[i]]
+                    if len(met):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(met, docs[i])), pa.array(np.maximum(met, docs[i]))], ["leader", "member"])
+                if side[i] == 0:
+                    if n == len(ids):
+                        held, ids, roots = (np.concatenate([x, np.empty_like(x)]) for x in (held, ids, roots))
+                    held[n], ids[n], roots[n] = rows[i], docs[i], root[i]
+                    n += 1
+
+    return run
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (key, doc_id, root, n), n rows a key, with (cell, side): any two rows of a key are in one cell, one of them on side 0."""
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # a cell (i, j), i < j, compares block i, on side 0, with block j; a cell (i, i) block i with itself
+    cell = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
+    return rows.select("key", cell.alias("cell"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "root")
+
+
 def _sets(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, shingle), by document then shingle."""
     doc, grams = T.ngram_hashes(T.tokenize(texts), SHINGLE)
@@ -213,7 +267,7 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify, "leader long, member long, jaccard double")
 
 
-def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (leader, member, jaccard) of representatives, and (doc_id, rep) of all exact copies but the representative."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     signed = keep(texts.mapInArrow(_sign, SIGNED), "signed")
@@ -221,13 +275,32 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     copies = signed.select("doc_id", "fp1", "fp2").join(reps.where("copies > 1").select("fp1", "fp2", "rep"), ["fp1", "fp2"]).where("doc_id <> rep").select("doc_id", "rep")
     rows = reps.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = rows.join(shared.hint("merge"), "key").join(reps.select(F.col("rep").alias("doc_id"), "sig"), "doc_id").select("key", "doc_id", "sig")
+    sigs = reps.select(F.col("rep").alias("doc_id"), "sig")
+    met = rows.join(shared.hint("merge"), "key").join(sigs, "doc_id").select("key", "doc_id", "sig")
     met = met.repartition("key").sortWithinPartitions("key", "doc_id")
     todo = keep(met.mapInArrow(_pair(threshold), "leader long, member long").where("leader <> member").distinct(), "candidates")
-    return verify_pairs(texts, todo).where(F.col("jaccard") >= threshold), copies
-
-
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    pairs = keep(verify_pairs(texts, todo).where(F.col("jaccard") >= threshold), "pairs")
+    roots = components(pairs.select(F.col("member").alias("node"), F.col("leader").alias("root"))).withColumnRenamed("node", "doc_id")
+    rows = rows.join(roots.hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    rows = keep(rows, "rooted")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
+    apart = _dealt(rows.join(mixed.hint("merge"), "key"), block).join(sigs.hint("merge"), "doc_id").select("key", "cell", "side", "doc_id", "root", "sig")
+    apart = apart.repartition("key", "cell").sortWithinPartitions("key", "cell", "side")
+    more = apart.mapInArrow(_across(threshold), "leader long, member long").distinct()
+    more = keep(_by_partners(more.join(todo.hint("merge"), ["leader", "member"], "left_anti")), "more")
+    return pairs.unionByName(verify_pairs(texts, more).where(F.col("jaccard") >= threshold)), copies
+
+
+def _by_partners(pairs: DataFrame) -> DataFrame:
+    """Pairs (leader, member), each led by its end of more pairs, so the text of a document with many partners goes out once a salt."""
+    pairs = keep(pairs, "apart")
+    ends = pairs.select(F.col("leader").alias("doc")).union(pairs.select("member")).groupBy("doc").agg(F.count("*").alias("n"))
+    both = pairs.join(ends.select(F.col("doc").alias("leader"), F.col("n").alias("a")).hint("merge"), "leader").join(ends.select(F.col("doc").alias("member"), F.col("n").alias("b")).hint("merge"), "member")
+    swap = F.col("a") < F.col("b")
+    return both.select(F.when(swap, F.col("member")).otherwise(F.col("leader")).alias("leader"), F.when(swap, F.col("leader")).otherwise(F.col("member")).alias("member"))
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, keep_id) for each document that repeats another one; keep_id is its group's least doc_id.
 
     Two documents are near copies if their sets of 3-token runs (the whole token sequence, if it is
@@ -236,7 +309,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     only) and rows with a null doc_id are in no group. Rows that repeat a doc_id count once. Other
     columns are not looked at. An empty table gives an empty one.
     """
-    pairs, copies = near_pairs(docs, threshold)
+    pairs, copies = near_pairs(docs, threshold, block)
     edges = pairs.select(F.col("member").alias("node"), F.col("leader").alias("root")).union(copies)
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from fixtures import DOC, empty, odd, words
 from lectern.llm import near_dedup as N
@@ -56,6 +57,26 @@ def test_groups_equal_brute_force(spark):
     assert left == set(range(len(docs))) - set(got)
 
 
+@pytest.mark.parametrize("block", [N.BLOCK, 7])
+def test_group_around_a_late_hub_is_whole(spark, block):
+    """200 copies at about 0.67 of an original of the last doc_id, and at about 0.47 of each other."""
+    rng = random.Random(8)
+    hub = words(rng, 300, 100_000)
+    docs = []
+    for n in range(200):
+        w = list(hub)
+        for i in rng.sample(range(300), 21):
+            w[i] = f"c{n}x{i}"
+        docs.append(" ".join(w))
+    docs.append(" ".join(hub))
+    sets = [shingles(d) for d in docs]
+    assert all(jaccard(s, sets[-1]) >= N.THRESHOLD for s in sets)
+    assert sum(jaccard(a, b) >= N.THRESHOLD for a, b in zip(sets[:-1], sets[1:-1], strict=False)) < 50
+    df = spark.createDataFrame([(i, d, "en", "s", len(d)) for i, d in enumerate(docs)], DOC)
+    got = {(r["doc_id"], r["keep_id"]) for r in N.near_groups(df, block=block).collect()}
+    assert got == {(i, 0) for i in range(1, 201)}
+
+
 def test_superminhash_estimates_and_equals_slow_version():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 62, 300, dtype=np.uint64)) for _ in range(2)]
