@@ -18,7 +18,8 @@ that two places share hold an anchor that both have chosen. Plan:
 
 Every token of a document that lies in MIN_TOKENS tokens met in an earlier document is in a repeat,
 and each repeat is told of the first such place; thousands of holders give as many rows, not pairs.
-Repeats within one document are not reported.
+Asked for, a passage whose first place is in the document itself is told too, of the nearest place
+before it there: the places of a periodic run are then all on one diagonal and join to one repeat.
 """
 
 from __future__ import annotations
@@ -168,21 +169,29 @@ def window_keys(anchor: np.ndarray, context: np.ndarray, c: int) -> Iterator[tup
         yield rows, T.mix64(own[rows] + left[t][rows] * _A + right[c - t][rows] * _B + T.U64(t))
 
 
-def match_places(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, context: np.ndarray, c: int, k: int) -> np.ndarray:
-    """Rows (doc, source, diagonal, begin, end) of whole buckets, given by (anchor, doc, pos)."""
+def match_places(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, context: np.ndarray, c: int, k: int, within: bool = False) -> np.ndarray:
+    """Rows (doc, source, diagonal, begin, end) of whole buckets, given by (anchor, doc, pos); within: also of places in the same document."""
+    new = np.ones(len(anchor), bool)  # a row that repeats a doc_id has its places again
+    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+    anchor, doc, pos, context = anchor[new], doc[new], pos[new], context[new]
     found = []
     for rows, key in window_keys(anchor, context, c):
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
         source = rows[first][which]
         other = doc[source] != doc[rows]
         found.append(rows[other] * len(anchor) + source[other])
-    pairs = np.unique(np.concatenate(found))  # a source is another document's place
+        if within:
+            order = np.argsort(which, kind="stable")
+            here, before = order[1:], order[:-1]
+            own = (which[here] == which[before]) & ~other[here]  # then all before it are of this document
+            found.append(rows[here[own]] * len(anchor) + rows[before[own]])
+    pairs = np.unique(np.concatenate(found))
     i, s = pairs // len(anchor), pairs % len(anchor)
     reach = [((context[i, a : a + c] == context[s, a : a + c]) & (context[i, a : a + c] != 0)).cumprod(axis=1).sum(axis=1) for a in (0, c)]
     return np.stack([doc[i], doc[s], pos[i] - pos[s], pos[i] - reach[0], pos[i] + k + reach[1]], axis=1)
 
 
-def _match(min_tokens: int):
+def _match(min_tokens: int, within: bool):
     k = min_tokens // 2
     c = min_tokens - k
 
@@ -191,7 +200,7 @@ def _match(min_tokens: int):
 
         def done(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
             if parts:
-                x = match_places(*(np.concatenate(p) for p in zip(*parts, strict=True)), c, k)
+                x = match_places(*(np.concatenate(p) for p in zip(*parts, strict=True)), c, k, within)
                 for a in range(0, len(x), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000, j].copy()) for j in range(5)], ["doc_id", "source_id", "diagonal", "begin", "end"])
 
@@ -222,12 +231,17 @@ def _keys(min_tokens: int):
     return run
 
 
-def _hot_matches(places: DataFrame, min_tokens: int) -> DataFrame:
+def _hot_matches(places: DataFrame, min_tokens: int, within: bool) -> DataFrame:
     """What `_match` finds, by keys in Spark's aggregation: partial minima, no bucket in one task."""
     keys = keep(places.mapInArrow(_keys(min_tokens), "key long, doc_id long, begin long"), "keys")
     first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("own"), F.count("*").alias("n")).where("n > 1")
-    rows = keys.join(first, "key").where("own.doc_id <> doc_id")
-    return rows.select("doc_id", F.col("own.doc_id").alias("source_id"), (F.col("begin") - F.col("own.begin")).alias("diagonal"), "begin", (F.col("begin") + min_tokens).alias("end"))
+    met = keys.join(first, "key")
+    rows = met.where("own.doc_id <> doc_id").select("doc_id", F.col("own.doc_id").alias("source_id"), (F.col("begin") - F.col("own.begin")).alias("diagonal"), "begin")
+    if within:
+        w = Window.partitionBy("key", "doc_id").orderBy("begin").rangeBetween(Window.unboundedPreceding, -1)
+        same = met.where("own.doc_id = doc_id").select("doc_id", "begin", F.max("begin").over(w).alias("before")).where("before is not null")
+        rows = rows.unionByName(same.select("doc_id", F.col("doc_id").alias("source_id"), (F.col("begin") - F.col("before")).alias("diagonal"), "begin"))
+    return rows.withColumn("end", F.col("begin") + min_tokens)
 
 
 def joined_stretches(rows: DataFrame) -> DataFrame:
@@ -239,10 +253,11 @@ def joined_stretches(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "source_id", "diagonal", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
 
 
-def repeated_passages(docs: DataFrame, min_tokens: int = MIN_TOKENS, hot: int = HOT) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_tokens: int = MIN_TOKENS, hot: int = HOT, within: bool = False) -> DataFrame:
     """(doc_id, begin, end, n_tokens, source_id, source_begin): tokens begin .. end of a document are those from source_begin on of an earlier one.
 
-    Earlier is by doc_id, the first place in it counts; what a document repeats of itself is left out. Tokens are runs of letters and digits in
+    Earlier is by doc_id, the first place in it counts. With `within`, what a document repeats of itself and no earlier one has is told
+    of the nearest place before, which the repeat may overlap; else it is left out. Tokens are runs of letters and digits in
     lower case, so case, punctuation and white space don't count. A document equal to an earlier one, as a
     token sequence, is reported as one repeat of it; passages shared with others are then told of the
     earlier one alone. Null, empty and short texts (under min_tokens) repeat nothing, rows with a null
@@ -259,12 +274,12 @@ def repeated_passages(docs: DataFrame, min_tokens: int = MIN_TOKENS, hot: int =
     places = texts.join(mine.hint("merge"), "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts(min_tokens), PLACES)
     crowded = often.where(F.col("n") > hot).select("anchor")
     if crowded.isEmpty():
-        rows = places.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(_match(min_tokens), REPEATS)
+        rows = places.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(_match(min_tokens, within), REPEATS)
     else:
         places = keep(places, "places")
         few = places.join(crowded, "anchor", "left_anti")
-        rows = few.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(_match(min_tokens), REPEATS)
-        rows = rows.unionByName(_hot_matches(places.join(crowded, "anchor", "left_semi").select("anchor", "doc_id", "pos", "context"), min_tokens))
+        rows = few.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(_match(min_tokens, within), REPEATS)
+        rows = rows.unionByName(_hot_matches(places.join(crowded, "anchor", "left_semi").select("anchor", "doc_id", "pos", "context"), min_tokens, within))
     found = joined_stretches(rows)
     found = found.select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("n_tokens"), "source_id", (F.col("begin") - F.col("diagonal")).alias("source_begin"))
     whole = copies.select("doc_id", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"), F.col("n").alias("n_tokens"), F.col("rep").alias("source_id"), F.lit(0).cast("long").alias("source_begin"))
@@ -272,5 +287,5 @@ def repeated_passages(docs: DataFrame, min_tokens: int = MIN_TOKENS, hot: int =
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All repeated passages of the documents."""
-    return repeated_passages(read_table(spark, sf_dir, "documents"))
+    """All repeated passages of the documents, those within one document too."""
+    return repeated_passages(read_table(spark, sf_dir, "documents"), within=True)

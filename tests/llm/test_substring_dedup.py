@@ -55,6 +55,34 @@ def test_covered_tokens_equal_brute_force(spark, length, hot):
     assert got == want and copied == copies
 
 
+@pytest.mark.parametrize(("length", "hot"), [(6, 100_000), (7, 3)])
+def test_repeats_within_a_document_equal_brute_force(spark, length, hot):
+    docs = corpus(length) | {70: "x " * 40, 71: " ".join(f"s{i}" for i in [*range(9), 99, *range(9), 98, *range(9)]), 72: "a b c d " * 9 + "end"}
+    docs = {d: t for d, t in docs.items() if d not in (60, 61)}
+    seen, want = set(), defaultdict(set)
+    for d in sorted(docs):
+        w = tuple((docs[d] or "").split())
+        for i in range(len(w) - length + 1):
+            if w[i : i + length] in seen:
+                want[d].update(range(i, i + length))
+            seen.add(w[i : i + length])
+    whole = {}
+    for d in sorted(docs):
+        whole.setdefault(docs[d], d)
+    table = spark.createDataFrame([*docs.items(), (71, docs[71])], "doc_id long, text string")
+    got, own = defaultdict(set), defaultdict(list)
+    for r in S.repeated_passages(table, length, hot, within=True).collect():
+        a, b = docs[r["doc_id"]].split(), docs[r["source_id"]].split()
+        assert r["n_tokens"] >= length and (r["source_id"], r["source_begin"]) < (r["doc_id"], r["begin"])
+        assert a[r["begin"] : r["end"]] == b[r["source_begin"] : r["source_begin"] + r["n_tokens"]]
+        got[r["doc_id"]].update(range(r["begin"], r["end"]))
+        if r["source_id"] == r["doc_id"]:
+            own[r["doc_id"]].append((r["begin"], r["end"], r["source_begin"]))
+    copies = {d for d in docs if whole[docs[d]] != d}
+    assert {d: x for d, x in got.items() if d not in copies} == {d: x for d, x in want.items() if d not in copies}
+    assert own[72] == [(4, 36, 0)] and sorted(own[71]) == [(10, 19, 0), (20, 29, 10)]
+
+
 def test_odd_rows(spark):
     rows = S.repeated_passages(odd(spark, clash=True)).collect()
     assert rows == []
