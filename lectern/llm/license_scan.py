@@ -2,7 +2,8 @@
 
 A text is cut into sentences, each normalised to its tokens (lower-case letters and digits; quotes,
 dashes, comment marks and line breaks vanish). A hash of the tokens looks the sentence up among the
-known ones, so all but a few sentences end there. What was found in a document is, in its order, a
+known ones, so all but a few sentences end there; known ones that hold a stop themselves are looked up
+by as many sentences in a row. What was found in a document is, in its order, a
 sequence of identifiers; a rule is an ordered list of them. Longer rules go first, a sentence counts
 for one rule, and between two sentences of a rule at most GAP tokens of other text may lie.
 
@@ -43,7 +44,8 @@ SENTENCES: dict[str, list[str]] = {
     "apache.copy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"],
     "apache.warranty": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
     "apache.see": ["See the License for the specific language governing permissions and limitations under the License"],
-    "gpl3.notice": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "gpl3.notice": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0-only"],
+    "gpl3.later": ["SPDX-License-Identifier: GPL-3.0-or-later"],
     "gpl3.free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
     "gpl.free": ["This program is free software"],
     "gpl3.terms": ["You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
@@ -80,6 +82,7 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("GPL-3.0-or-later", "header", ("gpl.free", "gpl3.terms", "gpl.hope", "gpl.implied", "gpl.see")),
     ("GPL-2.0-or-later", "header", ("gpl.free", "gpl2.terms", "gpl2.terms", "gpl.hope", "gpl.implied", "gpl.see")),
     ("GPL-3.0-only", "notice", ("gpl3.notice",)),
+    ("GPL-3.0-or-later", "notice", ("gpl3.later",)),
     ("BSD-3-Clause", "text", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.name")),
     ("BSD-2-Clause", "text", ("bsd.grant", "bsd.source", "bsd.binary")),
     ("ISC", "partial", ("isc.grant",)),
@@ -136,11 +139,17 @@ class Rules:
         pairs = [(name, s) for name, all_ in sentences.items() for s in all_]
         t = T.tokenize(plain(T.strings(pa.array([s for _, s in pairs], pa.large_string()))))
         keys, _ = T.document_hashes(t, len(pairs))
-        order = np.argsort(keys)
-        self.keys, self.names = keys[order], [pairs[i][0] for i in order]
-
-    def sentences(self, texts: pa.LargeStringArray) -> list[tuple[int, int, int, str]]:
-        """(row, first token, last token, identifier) of the known sentences, in order."""
+        number = np.concatenate([[0], np.cumsum(sentence_breaks(t.data, t.row_at, False))])[t.start]
+        pieces = 1 + number[t.first[1:] - 1] - number[t.first[:-1]]
+        #: (pieces, keys, names): all by their whole tokens, then those that the breaks cut, by how many pieces they fall into.
+        self.tables = []
+        for count in (1, *sorted(set(pieces.tolist()) - {1})):
+            order = np.argsort(keys)
+            order = order if count == 1 else order[pieces[order] == count]
+            self.tables.append((count, keys[order], [pairs[i][0] for i in order]))
+
+    def sentences(self, texts: pa.LargeStringArray, joined: bool = False) -> list[tuple[int, int, int, str]]:
+        """(row, first token, last token, identifier) of the known sentences, in order; joined: also those that stops cut, as 'SPDX-License-Identifier: MIT', from their pieces in a row."""
         t = T.tokenize(plain(texts))
         n = len(t.hash)
         if not n:
@@ -155,11 +164,13 @@ class Rules:
             new[1:] = (number[1:] != number[:-1]) | (t.doc[1:] != t.doc[:-1])
             a = np.flatnonzero(new)
             b = np.append(a[1:], n)
-            key = T.mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * T.GOLDEN)
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            for i in np.flatnonzero(self.keys[place] == key):
-                row = int(t.doc[a[i]])
-                out.add((row, int(a[i] - t.first[row]), int(b[i] - t.first[row] - 1), self.names[place[i]]))
+            for count, keys, names in self.tables if joined else self.tables[:1]:
+                begin, end = a[: len(a) - count + 1], b[count - 1 :]
+                key = T.mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * T.GOLDEN)
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                for i in np.flatnonzero((keys[place] == key) & (t.doc[begin] == t.doc[end - 1])):
+                    row = int(t.doc[begin[i]])
+                    out.add((row, int(begin[i] - t.first[row]), int(end[i] - t.first[row] - 1), names[place[i]]))
         return sorted(out)
 
     def match(self, found: list[tuple[int, int, str]]) -> list[tuple[str, str, list[str], int, int]]:
@@ -201,7 +212,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).to_pylist()
             for lo, hi in T.spans(texts):
                 by_row: dict[int, list] = {}
-                for row, first, last, name in rules.sentences(texts.slice(lo, hi - lo)):
+                for row, first, last, name in rules.sentences(texts.slice(lo, hi - lo), joined=True):
                     by_row.setdefault(row, []).append((first, last, name))
                 rows += [(ids[lo + row], *m) for row, found in by_row.items() for m in rules.match(found)]
             if rows:

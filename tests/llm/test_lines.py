@@ -140,6 +140,22 @@ def test_licence_sentences_equal_brute_force(spark):
     assert got == want and len(want) > 50
 
 
+def test_every_known_sentence_is_found(spark):
+    import pyarrow as pa
+
+    known = [(k, v) for k, vs in L.SENTENCES.items() for v in vs]
+    for before, after in (("", ""), ("// ", "\n"), ("Words before. ", ". Words after"), ("int a;\n\n/* ", " */\nint b;")):
+        texts = pa.array([before + v + after for _, v in known], pa.large_string())
+        found = {(r, n) for r, _, _, n in L.Rules().sentences(texts, joined=True)}
+        assert [v for i, (k, v) in enumerate(known) if (i, k) not in found] == []
+    notices = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-only": "GPL-3.0-only", "GPL-3.0-or-later": "GPL-3.0-or-later"}
+    rows = [f"// SPDX-License-Identifier: {n}\nint a;" for n in notices]
+    rows += ["/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */", "SPDX-License-Identifier:", "MIT"]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(rows)], DOC)
+    got = sorted((r["doc_id"], r["licence"]) for r in L.scan_licences(df).collect())
+    assert got == [*enumerate(notices.values()), (4, "MPL-2.0")]
+
+
 def test_licences_odd_rows(spark):
     assert L.scan_licences(odd(spark, clash=True)).count() == 0 and L.scan_licences(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "All rights reserved.", "en", "s", 1)] * 2, DOC)
