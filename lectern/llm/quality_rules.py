@@ -20,7 +20,7 @@ from lectern.llm._tables import keep, once, read_table
 #: A line is removed if more distinct documents of its host hold it than both of these allow.
 MIN_DOCS = 10
 MAX_SHARE = 0.005
-#: Longer lines are passages, which deduplication handles, and stay.
+#: Only ORACLE_SQL has this limit: it takes no longer line for a frequent one, so there it can differ from the operator.
 MAX_LINE_CHARS = 200
 #: A document that lost lines is rejected if less than this share of its visible characters is left.
 MIN_LEFT = 0.5
@@ -43,7 +43,7 @@ def _lines(text: Column) -> Column:
 
 
 def _counted(line: Column) -> Column:
-    return (F.length(line) <= MAX_LINE_CHARS) & (normal_line(line) != "")
+    return normal_line(line) != ""
 
 
 def frequent_lines(docs: DataFrame) -> DataFrame:
@@ -59,10 +59,9 @@ def frequent_lines(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents' columns, `text` without its frequent lines, and n_lines, n_removed and kept.
 
-    Lines are split at line feeds. A line counts if it has at most MAX_LINE_CHARS characters and any
-    letter or digit; a document holds it once, however often it repeats there; rows that repeat a
-    doc_id count as one document, and rows with a null doc_id as one together. Blank and longer lines
-    are never removed. `kept` is false if lines were removed and less than MIN_LEFT of the
+    Lines are split at line feeds. A line of any length counts if it has any letter or digit; a document
+    holds it once, however often it repeats there; rows that repeat a doc_id count as one document, and
+    rows with a null doc_id as one together. Blank lines are never removed. `kept` is false if lines were removed and less than MIN_LEFT of the
     characters other than white space is left. A null text stays null, an empty one empty, and both
     are kept: there is no frequent line in them. An empty table gives an empty one. Further columns
     pass through, but ones named n_lines, n_removed or kept are replaced.
@@ -88,8 +87,8 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
         known = lambda key: F.array_contains("_lectern_often", key)
     lines = _lines(F.col("text"))
     bare = lambda c: F.length(F.regexp_replace(c, "\\s+", ""))
-    # lines are normalised once; null where they don't count
-    keys = F.transform(lines, lambda x: F.when(F.length(x) <= MAX_LINE_CHARS, line_key(x)))
+    # lines are normalised once
+    keys = F.transform(lines, line_key)
     gone = F.transform("_lectern_keys", lambda k: F.coalesce(k != "", F.lit(False)) & known(k))
     out = once(joined, "_lectern_keys", F.when(F.col("_lectern_often").isNotNull(), keys))
     out = once(out, "_lectern_gone", gone)

@@ -80,6 +80,15 @@ def test_quality_rules(spark, broadcast_rows):
     assert out[1]["n_removed"] == 2 and not out[100]["kept"] and out[200]["kept"] and out[201]["kept"]
 
 
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_long_frequent_lines_go(spark, broadcast_rows):
+    notice = "We use cookies, and so do our partners. " * 8
+    rows = [(i, f"{notice}\n" + f"Own text {word(i)} " * 60, "en", "site", 1) for i in range(20)] + [(20, notice, "en", "site", 1), (21, notice, "en", "other", 1)]
+    out = {r["doc_id"]: r for r in Q.judge(spark.createDataFrame(rows, DOC), broadcast_rows).collect()}
+    assert all(out[i]["text"] == f"Own text {word(i)} " * 60 and out[i]["n_removed"] == 1 and out[i]["kept"] for i in range(20))
+    assert not out[20]["kept"] and out[21]["text"] == notice and out[21]["kept"]
+
+
 @pytest.mark.parametrize("broadcast_rows", [10**6, 0])
 def test_quality_rules_odd_rows(spark, broadcast_rows):
     docs = odd(spark, clash=True)
