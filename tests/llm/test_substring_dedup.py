@@ -29,58 +29,79 @@ def corpus(seed):
     return docs | {60: docs[3], 61: docs[3], 62: "", 63: None}
 
 
-@pytest.mark.parametrize(("length", "hot"), [(6, 100_000), (7, 3)])
-def test_covered_tokens_equal_brute_force(spark, length, hot):
-    docs = corpus(length)
-    first, want, whole = {}, defaultdict(set), {}
-    for d in sorted(docs):
-        w = tuple((docs[d] or "").split())
-        if len(w) >= length and w in whole:
-            continue
-        whole.setdefault(w, d)
-        for i in range(len(w) - length + 1):
-            key = w[i : i + length]
-            if first.setdefault(key, d) != d:
-                want[d].update(range(i, i + length))
-    copies = {d for d in docs if docs[d] and len(docs[d].split()) >= length and whole[tuple(docs[d].split())] != d}
-    got, copied = defaultdict(set), set()
-    for r in S.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), length, hot).collect():
-        a, b = docs[r["doc_id"]].split(), docs[r["source_id"]].split()
-        assert r["n_tokens"] >= length and r["source_id"] < r["doc_id"]
-        assert a[r["begin"] : r["end"]] == b[r["source_begin"] : r["source_begin"] + r["n_tokens"]]
-        if r["doc_id"] in copies:
-            copied.add(r["doc_id"])
-        else:
-            got[r["doc_id"]].update(range(r["begin"], r["end"]))
-    assert got == want and copied == copies
-
-
-@pytest.mark.parametrize(("length", "hot"), [(6, 100_000), (7, 3)])
-def test_repeats_within_a_document_equal_brute_force(spark, length, hot):
-    docs = corpus(length) | {70: "x " * 40, 71: " ".join(f"s{i}" for i in [*range(9), 99, *range(9), 98, *range(9)]), 72: "a b c d " * 9 + "end"}
-    docs = {d: t for d, t in docs.items() if d not in (60, 61)}
-    seen, want = set(), defaultdict(set)
-    for d in sorted(docs):
-        w = tuple((docs[d] or "").split())
-        for i in range(len(w) - length + 1):
-            if w[i : i + length] in seen:
-                want[d].update(range(i, i + length))
-            seen.add(w[i : i + length])
-    whole = {}
-    for d in sorted(docs):
-        whole.setdefault(docs[d], d)
-    table = spark.createDataFrame([*docs.items(), (71, docs[71])], "doc_id long, text string")
-    got, own = defaultdict(set), defaultdict(list)
-    for r in S.repeated_passages(table, length, hot, within=True).collect():
-        a, b = docs[r["doc_id"]].split(), docs[r["source_id"]].split()
-        assert r["n_tokens"] >= length and (r["source_id"], r["source_begin"]) < (r["doc_id"], r["begin"])
-        assert a[r["begin"] : r["end"]] == b[r["source_begin"] : r["source_begin"] + r["n_tokens"]]
-        got[r["doc_id"]].update(range(r["begin"], r["end"]))
-        if r["source_id"] == r["doc_id"]:
-            own[r["doc_id"]].append((r["begin"], r["end"], r["source_begin"]))
-    copies = {d for d in docs if whole[docs[d]] != d}
-    assert {d: x for d, x in got.items() if d not in copies} == {d: x for d, x in want.items() if d not in copies}
-    assert own[72] == [(4, 36, 0)] and sorted(own[71]) == [(10, 19, 0), (20, 29, 10)]
+def maximal_repeats(docs, length):
+    """All rows by definition: every window's partner, extended token by token; then those of two documents that lie in no other."""
+    words = {d: t.split() for d, t in docs.items() if t and len(t.split()) >= length}
+    rep, groups = {}, defaultdict(list)
+    for d in sorted(words):
+        rep.setdefault(tuple(words[d]), d)
+        groups[rep[tuple(words[d])]].append(d)
+    rows = {(d, 0, len(words[d]), r, 0) for r, g in groups.items() for d in g if d != r}
+    rows |= {(r, 0, len(words[r]), g[1], 0) for r, g in groups.items() if len(g) > 1}
+    places = defaultdict(list)
+    for d in sorted(groups):
+        for i in range(len(words[d]) - length + 1):
+            places[tuple(words[d][i : i + length])].append((d, i))
+    found = defaultdict(set)
+    for at in places.values():
+        for j, (d, i) in enumerate(at):
+            others = [p for p in at if p[0] != d]
+            if not others and len(at) == 1:
+                continue
+            s, k = others[0] if others else at[j - 1] if j else at[1]
+            a, b, lo, hi = words[d], words[s], i, i
+            while lo and lo - i + k and a[lo - 1] == b[lo - 1 - i + k]:
+                lo -= 1
+            while hi < len(a) and hi - i + k < len(b) and a[hi] == b[hi - i + k]:
+                hi += 1
+            found[d, s].add((lo, -hi, abs(i - k), i - k))
+    for (d, s), matches in found.items():
+        reached = 0
+        for lo, hi, _, shift in sorted(matches):
+            if -hi > reached:
+                rows.add((d, lo, -hi, s, lo - shift))
+                reached = -hi
+    return rows
+
+
+def found(spark, docs, *args):
+    rows = S.repeated_passages(spark.createDataFrame(list(docs), "doc_id long, text string"), *args).collect()
+    assert all(r["n_tokens"] == r["end"] - r["begin"] for r in rows)
+    got = [(r["doc_id"], r["begin"], r["end"], r["source_id"], r["source_begin"]) for r in rows]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+@pytest.mark.parametrize(("length", "hot"), [(6, 100_000), (7, 3), (9, 100_000)])
+def test_maximal_repeats_equal_brute_force(spark, length, hot):
+    docs = corpus(length) | {70: "x " * 40, 71: " ".join(f"s{i}" for i in [*range(9), 99, *range(9), 98, *range(9)]), 72: "a b c d " * 9 + "end", 73: "c d a b " * 12}
+    assert found(spark, [*docs.items(), (71, docs[71]), (5, docs[5])], length, hot) == maximal_repeats(docs, length)
+
+
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_a_repeat_stays_whole_where_parts_of_it_stand_earlier(spark, hot):
+    long_ = [f"m{i}" for i in range(300)]
+    docs = {1: " ".join(long_[10:60]) + " one", 2: " ".join(long_[100:180]) + " two", 3: "three " + " ".join(long_), 4: " ".join(long_) + " four", 5: "five " + " ".join(long_[5:295])}
+    got = found(spark, docs.items(), 20, hot)
+    assert got == maximal_repeats(docs, 20)
+    assert (4, 0, 300, 3, 1) in got and (3, 1, 301, 4, 0) in got and {d for d, *_ in got} == set(docs)
+
+
+def test_near_copies_with_many_edits(spark):
+    rng = random.Random(3)
+    base = [f"b{rng.randint(0, 5000)}" for _ in range(400)]
+    docs = {d: " ".join(w if rng.random() > 0.03 else f"e{rng.randint(0, 9)}" for w in base) for d in range(40)}
+    assert found(spark, docs.items(), 20) == maximal_repeats(docs, 20)
+
+
+def test_long_texts_and_many_holders_of_one_passage(spark, monkeypatch):
+    monkeypatch.setattr(S, "PER_TASK", 7)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(120)]
+    docs = {d: " ".join([f"u{d}x{i}" for i in range(30)] + passage[rng.randint(0, 9) :]) for d in range(60)}
+    docs[60] = " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(200_000)) + " " + " ".join(passage)
+    docs[61] = "y z " * 20_000
+    assert found(spark, docs.items(), 50) == maximal_repeats({**docs, 61: None}, 50) | {(61, 0, 39_998, 61, 2), (61, 2, 40_000, 61, 0)}
 
 
 def test_odd_rows(spark):
