@@ -13,8 +13,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can reach.
+def shared_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new folder below spark.checkpoint.dir, which every executor can reach; deleted when the application ends, unless it is a lasting one.
 
     Only where that is unset (tests on one machine) is a folder of this machine used, and only under
     a local master.
@@ -25,11 +25,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    if not lasting:
+        files.deleteOnExit(at)  # results are read lazily, so nothing is deleted before the driver ends
+    return path
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
+    path = f"{shared_path(df.sparkSession, name)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
