@@ -7,10 +7,11 @@ Plan, for n documents:
    token sequence are equal sets, so one representative of each goes on (a map-side-combined
    aggregate; thousands of copies cost one row a partition).
 2. Band keys met once are dropped. The others' rows, each with its signature cut to a byte a register,
-   are sorted by bucket. A task reads a bucket row by row and holds its leaders alone: a row is a
-   candidate with the leader of most equal registers, if their estimate reaches THRESHOLD - BELOW,
-   and becomes a leader itself unless the estimate reaches THRESHOLD + ABOVE. So a bucket of k gives
-   at most k - 1 pairs, not k(k - 1)/2, and most of each group is found.
+   are sorted by bucket, one over BLOCK rows in several blocks. A task holds a bucket's leaders alone: a
+   row is a candidate with the first row if their estimate reaches THRESHOLD + ABOVE, else with the leader
+   of most equal registers, if that estimate reaches THRESHOLD - BELOW, and then becomes a leader itself
+   unless it reaches THRESHOLD + ABOVE. So a bucket of k gives at most k - 1 pairs, not k(k - 1)/2, and
+   most of each group is found.
 3. Candidates are verified by the exact Jaccard similarity of the shingle sets. The texts are shuffled
    once to meet their pairs, then lie sorted behind their leader, so a task holds one leader's set
    and one batch, however many partners there are; leaders with many partners are salted.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import _text as T
-from lectern.llm._tables import keep, read_table
+from lectern.llm._tables import by_ids, keep, read_table, with_ids
 from lectern.operators.components import components
 
 SHINGLE = 3
@@ -140,35 +141,51 @@ def _signatures(column: pa.BinaryArray) -> np.ndarray:
 
 
 def _pair(threshold: float):
-    """Rows (key, doc_id, sig) by key and doc_id to candidates (leader, member)."""
+    """Rows (key, block, doc_id, sig) by key, block and doc_id to candidates (leader, member)."""
     m = BANDS * ROWS
     least, joins = _equal_registers(threshold - BELOW), _equal_registers(threshold + ABOVE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leaders, ids, n = None, np.empty((16, m), np.uint8), [], 0
+        place, head_sig, head_id = None, np.zeros(m, np.uint8), 0
+        leaders, ids, n = np.empty((16, m), np.uint8), [], 0  # of the bucket read last, without its first row
         for batch in batches:
-            keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows = _signatures(batch.column(2))
-            out: list[tuple[int, int]] = []
-            for i, k in enumerate(keys.tolist()):
-                if k != key:
-                    key, ids, n = k, [], 0
-                best = 0
+            keys, blocks, docs = (batch.column(i).to_numpy() for i in range(3))
+            rows = _signatures(batch.column(3))
+            if not len(keys):
+                continue
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1])
+            new[0] = place != (keys[0], blocks[0])
+            bucket = np.cumsum(new) - 1  # -1: goes on from the last batch
+            first = np.flatnonzero(new)
+            heads, head_ids = np.concatenate([rows[first], head_sig[None]]), np.append(docs[first], head_id)
+            equal = np.count_nonzero(rows == heads[bucket], axis=1)
+            out = [np.stack([head_ids[bucket], docs], axis=1)[(equal >= joins) & ~new]]
+            # the few unlike their bucket's first row meet its other leaders one by one
+            here = -1
+            for i in np.flatnonzero((equal < joins) & ~new):
+                if bucket[i] != here:
+                    here, ids, n = bucket[i], [], 0
+                best, at = int(equal[i]), -1
                 if n:
-                    equal = np.count_nonzero(leaders[:n] == rows[i], axis=1)
-                    at = int(equal.argmax())
-                    best = int(equal[at])
-                    if best >= least:
-                        out.append((ids[at], int(docs[i])))
+                    alike = np.count_nonzero(leaders[:n] == rows[i], axis=1)
+                    k = int(alike.argmax())
+                    if alike[k] > best:
+                        best, at = int(alike[k]), k
+                if best >= least:
+                    out.append(np.array([[ids[at] if at >= 0 else head_ids[bucket[i]], docs[i]]]))
                 if best < joins:
                     if n == len(leaders):
                         leaders = np.concatenate([leaders, np.empty_like(leaders)])
                     leaders[n] = rows[i]
                     ids.append(int(docs[i]))
                     n += 1
-            if out:
-                a = np.unique(np.array(out, np.int64), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], ["leader", "member"])
+            if bucket[-1] != here and bucket[-1] >= 0:
+                ids, n = [], 0
+            place, head_sig, head_id = (keys[-1], blocks[-1]), heads[bucket[-1]].copy(), int(head_ids[bucket[-1]])
+            pairs = np.unique(np.concatenate(out), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["leader", "member"])
 
     return run
 
@@ -178,26 +195,41 @@ def _across(threshold: float):
     m = BANDS * ROWS
     least = _equal_registers(threshold - BELOW)
 
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["leader", "member"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, n = None, 0
         held, ids, roots = np.empty((16, m), np.uint8), np.empty(16, np.int64), np.empty(16, np.int64)
         for batch in batches:
             keys, cells, side, docs, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             rows = _signatures(batch.column(5))
-            for i, here in enumerate(zip(keys.tolist(), cells.tolist(), strict=True)):
+            if not len(keys):
+                continue
+            edge = np.flatnonzero((keys[1:] != keys[:-1]) | (cells[1:] != cells[:-1])) + 1
+            begin, end = np.concatenate([[0], edge]), np.append(edge, len(keys))
+            # cells of two rows, most of all, at once; the batch's first and last may go on in others
+            two = np.flatnonzero((end - begin == 2) & (begin > 0) & (end < len(keys)))
+            a, b = begin[two], begin[two] + 1
+            hit = (root[a] != root[b]) & (docs[a] != docs[b]) & (side[a] == 0) & (np.count_nonzero(rows[a] == rows[b], axis=1) >= least)
+            if hit.any():
+                yield pairs(docs[a[hit]], docs[b[hit]])
+            for g in np.setdiff1d(np.flatnonzero((end - begin > 1) | (begin == 0) | (end == len(keys))), two):
+                here = (keys[begin[g]], cells[begin[g]])
                 if here != place:
                     place, n = here, 0
-                if n:
-                    other = np.flatnonzero(roots[:n] != root[i])
-                    met = ids[other[np.count_nonzero(held[other] == rows[i], axis=1) >= least]]
-                    met = met[met != docs[i]]
-                    if len(met):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(met, docs[i])), pa.array(np.maximum(met, docs[i]))], ["leader", "member"])
-                if side[i] == 0:
-                    if n == len(ids):
-                        held, ids, roots = (np.concatenate([x, np.empty_like(x)]) for x in (held, ids, roots))
-                    held[n], ids[n], roots[n] = rows[i], docs[i], root[i]
-                    n += 1
+                for i in range(begin[g], end[g]):
+                    if n:
+                        other = np.flatnonzero(roots[:n] != root[i])
+                        met = ids[other[np.count_nonzero(held[other] == rows[i], axis=1) >= least]]
+                        met = met[met != docs[i]]
+                        if len(met):
+                            yield pairs(met, np.full(len(met), docs[i]))
+                    if side[i] == 0:
+                        if n == len(ids):
+                            held, ids, roots = (np.concatenate([x, np.empty_like(x)]) for x in (held, ids, roots))
+                        held[n], ids[n], roots[n] = rows[i], docs[i], root[i]
+                        n += 1
 
     return run
 
@@ -262,6 +294,7 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     heads = salts.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("doc_id"), F.lit(0).alias("role"))
     rest = pairs.join(salts, "leader").select("leader", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.col("member").alias("doc_id"), F.lit(1).alias("role"))
     # the hint keeps one plan at every size; Spark would else broadcast small sides alone
+    texts = with_ids(texts, pairs.select(F.explode(F.array("leader", "member"))).distinct())
     rows = texts.join(heads.union(rest).hint("merge"), "doc_id").select("leader", "doc_id", "text", "role", "salt")
     rows = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
     return rows.mapInArrow(_verify, "leader long, member long, jaccard double")
@@ -274,10 +307,12 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     reps = keep(signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
     copies = signed.select("doc_id", "fp1", "fp2").join(reps.where("copies > 1").select("fp1", "fp2", "rep"), ["fp1", "fp2"]).where("doc_id <> rep").select("doc_id", "rep")
     rows = reps.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sigs = reps.select(F.col("rep").alias("doc_id"), "sig")
-    met = rows.join(shared.hint("merge"), "key").join(sigs, "doc_id").select("key", "doc_id", "sig")
-    met = met.repartition("key").sortWithinPartitions("key", "doc_id")
+    # a large bucket is read in blocks, in as many tasks; step 4 compares the blocks
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block)).alias("block")
+    met = rows.join(shared.hint("merge"), "key").select("key", part, "doc_id").join(sigs, "doc_id").select("key", "block", "doc_id", "sig")
+    met = met.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id")
     todo = keep(met.mapInArrow(_pair(threshold), "leader long, member long").where("leader <> member").distinct(), "candidates")
     pairs = keep(verify_pairs(texts, todo).where(F.col("jaccard") >= threshold), "pairs")
     roots = components(pairs.select(F.col("member").alias("node"), F.col("leader").alias("root"))).withColumnRenamed("node", "doc_id")
@@ -304,8 +339,11 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     """(doc_id, keep_id) for each document that repeats another one; keep_id is its group's least doc_id.
 
     Two documents are near copies if their sets of 3-token runs (the whole token sequence, if it is
-    shorter) have a Jaccard similarity of at least `threshold`; groups are the connected components.
-    Case, punctuation and white space don't count. Documents without tokens (null, empty, punctuation
+    shorter) have a Jaccard similarity of at least `threshold`; groups are the connected components of the
+    pairs found, which are those that share a band and have an estimate of at least threshold - BELOW: at
+    similarity 0.5 a pair is missed with probability 0.13, at 0.6 with 0.01. Tokens are runs of letters and
+    digits in lower case, where all characters beyond ASCII count as letters, typographic quotes and dashes
+    too; case, ASCII punctuation and white space don't count. Documents without tokens (null, empty, punctuation
     only) and rows with a null doc_id are in no group. Rows that repeat a doc_id count once. Other
     columns are not looked at. An empty table gives an empty one.
     """
@@ -316,8 +354,9 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with their columns, of which each group keeps that of least doc_id."""
-    gone = near_groups(docs, threshold).select(F.col("doc_id").alias("_lectern_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_lectern_gone"], "left_anti")
+    gone = keep(near_groups(docs, threshold).select(F.col("doc_id").alias("_lectern_gone")).distinct(), "gone")
+    some, others = by_ids(docs, gone)
+    return others.unionByName(some.join(gone.hint("merge"), docs["doc_id"] == gone["_lectern_gone"], "left_anti"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
