@@ -29,29 +29,99 @@ def state(store):
     return sorted((r["k1"], r["k2"], r["docs"], r["occurrences"]) for r in store.counts().collect())
 
 
-def test_store_is_incremental_and_reversible(spark):
+def held(store):
+    """Whether each key of the store passes its shard's filter, and how many others do."""
+    keys = {r["k1"] for r in store.refs().collect()}
+    filters = {r["shard"]: D.CuckooFilter.of(r["filter"]) for r in store.filters().collect()}
+    assert sum(r["keys"] for r in store.filters().collect()) == len(keys)
+    return all(filters[k % store.shards].contains(np.array([k]))[0] for k in keys)
+
+
+class Slow:
+    """A store as lists, by definition."""
+
+    def __init__(self):
+        self.rows = []  # (batch, doc_id, line_no, key)
+        self.batch = 0
+
+    def insert(self, docs):
+        have = {d for _, d, _, _ in self.rows}
+        new = sorted((self.batch, i, n, line.strip(" \t\r")) for i, text in docs if i not in have for n, line in enumerate((text or "").split("\n")) if line.strip(" \t\r"))
+        seen, again = {k for *_, k in self.rows}, set()
+        for _, i, n, key in new:
+            if key in seen:
+                again.add((i, n))
+            seen.add(key)
+        self.rows += new
+        self.batch += 1
+        return again
+
+    def delete(self, ids):
+        self.rows = [r for r in self.rows if r[1] not in ids]
+        self.batch += 1
+
+    def clean(self, docs):
+        own = {}
+        for row in sorted(self.rows):
+            own.setdefault(row[3], row[1:3])
+        return {i: "\n".join(line for n, line in enumerate(text.split("\n")) if own.get(line.strip(" \t\r"), (i, n)) == (i, n)) for i, text in docs}
+
+
+def test_store_is_incremental_reversible_and_can_be_opened_again(spark, monkeypatch):
+    monkeypatch.setattr(D, "SHARD_LINES", 9)
     rng = random.Random(1)
-    docs = [(i, "\n".join(rng.choice(["a", "b", "c ", " a", f"own {i}", ""]) for _ in range(6)), "en", "s", 1) for i in range(30)]
-    df = spark.createDataFrame(docs, DOC)
-    one, two = df.where("doc_id < 20"), df.where("doc_id >= 20")
-    store = D.LineStore(spark, 3)
-    store.insert(one)
+    docs = [(i, "\n".join(rng.choice(["a", "b", "c ", " a", f"own {i}", "", f"x{rng.randint(0, 40)}"]) for _ in range(8))) for i in range(60)]
+    table = lambda ids: spark.createDataFrame([docs[i] for i in ids], "doc_id long, text string")
+    store, slow = D.LineStore(spark), Slow()
+
+    def insert(ids):
+        nonlocal store
+        store = D.LineStore(spark, store.path)  # as a later application would
+        got = {(r["doc_id"], r["line_no"]) for r in store.insert(table(ids)).collect()}
+        assert got == slow.insert([docs[i] for i in ids]) and held(store)
+
+    def delete(ids):
+        store.delete(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+        slow.delete(set(ids))
+        assert held(store) and {r["doc_id"] for r in store.refs().collect()} == {r[1] for r in slow.rows}
+
+    def clean():
+        there = sorted({r[1] for r in slow.rows})
+        got = {r["doc_id"]: r["text"] for r in store.clean(table(there)).collect()}
+        assert got == slow.clean([docs[i] for i in there])
+
+    insert(range(40, 50))
+    insert(range(10))  # of lower ids, but later
+    clean()
     before = state(store)
-    gone = {(r["doc_id"], r["line_no"]) for r in store.insert(two).collect()}
-    seen, want = set(), set()
-    for i, text, *_ in docs:
-        for n, line in enumerate(text.split("\n")):
-            key = line.strip(" \t\r")
-            if key and key in seen and i >= 20:
-                want.add((i, n))
-            seen.add(key)
-    assert gone == want
-    store.delete(two.select("doc_id"))
+    insert([*range(5, 30), 41])  # some for the second time
+    delete(range(10, 30))
     assert state(store) == before
-    again = {(r["doc_id"], r["line_no"]) for r in store.insert(two).collect()}
-    assert again == want
-    store.delete(one.select("doc_id"))
-    assert {r["doc_id"] for r in store.refs().select("doc_id").distinct().collect()} <= set(range(20, 30))
+    insert(range(15, 60))
+    delete([40, 41, 42, 99])
+    insert([42])
+    clean()
+    shards = store.shards
+    assert shards > 8
+    before = state(store)
+    store.compact()
+    assert state(store) == before and held(store) and len(store.tables["refs"]) == 1
+    insert(range(60))
+    clean()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_line_dedup_equals_brute_force(spark, batches):
+    rng = random.Random(4)
+    docs = [(i, "\n".join(rng.choice(["a", "b ", "\tc", "", f"own {i}", f"x{rng.randint(0, 99)}"]) for _ in range(6))) for i in range(80)]
+    slow = Slow()
+    gone = slow.insert(docs)
+    out = D.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), batches).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        lines = docs[r["doc_id"]][1].split("\n")
+        left = [x for n, x in enumerate(lines) if (r["doc_id"], n) not in gone]
+        assert (r["text"], r["n_lines"], r["n_removed"], r["n_left"]) == ("\n".join(left), len(lines), len(lines) - len(left), sum(x.strip(" \t\r") != "" for x in left))
 
 
 def test_line_dedup_odd_rows(spark):
@@ -165,6 +235,61 @@ def test_every_known_sentence_is_found(spark):
     assert got == [*enumerate(notices.values()), (4, "MPL-2.0")]
 
 
+def slow_match(found, rules, gap, long_gap):
+    """By trying all choices of sentences in the order of the text."""
+    import itertools
+
+    used, out = set(), []
+    for licence, kind, names in sorted(rules, key=lambda r: -len(r[2])):
+        most = long_gap if kind == "long" else gap
+        for start in range(len(found)):
+            for more in itertools.combinations(range(start + 1, len(found)), len(names) - 1):
+                all_ = (start, *more)
+                steps = [found[b][0] - found[a][1] - 1 for a, b in zip(all_, more, strict=False)]
+                if tuple(found[i][2] for i in all_) == names and not used & set(all_) and all(0 <= g <= most for g in steps):
+                    used |= set(all_)
+                    out.append((licence, "text" if kind == "long" else kind, list(names), found[start][0], found[all_[-1]][1]))
+                    break
+    return sorted(out, key=lambda m: (m[3], m[4], m[0]))
+
+
+def test_rules_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(L, "GAP", 5)
+    monkeypatch.setattr(L, "LONG_GAP", 12)
+    rng = random.Random(6)
+    seen = 0
+    for _ in range(400):
+        rules = [(f"l{i}", rng.choice(["text", "long"]), tuple(rng.choice("abcd") for _ in range(rng.randint(1, 4)))) for i in range(rng.randint(1, 5))]
+        at, found = 0, set()
+        for _ in range(rng.randint(0, 9)):
+            at += rng.randint(0, 6)
+            found.add((at, at + rng.randint(0, 4), rng.choice("abcd")))
+        found = sorted(found)
+        got = L.Rules({n: [n] for n in "abcd"}, rules).match(found)
+        assert got == slow_match(found, rules, 5, 12)
+        seen += len(got)
+    assert seen > 300
+
+
+def test_long_licences_by_their_telling_sentences(spark):
+    fill = lambda n: " ".join(["other words"] * n) + ".\n\n"
+    say = lambda *names: fill(300).join(L.SENTENCES[n][-1] + ".\n\n" for n in names)
+    texts = {
+        "Apache-2.0": say("apache.title", "apache.definition", "apache.contribution", "terms.end"),
+        "GPL-3.0": say("gnu.verbatim", "gpl3.text", "terms.end"),
+        "GPL-2.0": say("gnu.verbatim", "gpl2.text", "gpl2.intended", "terms.end"),
+        "LGPL-2.1": say("gnu.verbatim", "gpl2.text", "lgpl21.text", "terms.end"),
+        "AGPL-3.0": say("gnu.verbatim", "agpl3.text", "terms.end"),
+        "Zlib": "\n".join(L.SENTENCES[n][0] + "." for n in ("zlib.as-is", "zlib.liability", "zlib.grant")),
+        "LGPL-2.1-or-later": "; ".join(L.SENTENCES[n][0] for n in ("lgpl.free", "lgpl.terms", "lgpl21.later")) + ". " + "; ".join(L.SENTENCES[n][0] for n in ("lgpl.hope", "gpl.implied")) + ". " + L.SENTENCES["lgpl.see"][0] + ".",
+        "OFL-1.1": "Licensed under the SIL Open Font License, Version 1.1.",
+    }
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts.values())], DOC)
+    got = sorted((r["doc_id"], r["licence"]) for r in L.scan_licences(df).collect())
+    assert got == list(enumerate(texts))
+    assert {n for _, _, names in L.RULES for n in names} <= set(L.SENTENCES)
+
+
 def test_licences_odd_rows(spark):
     assert L.scan_licences(odd(spark, clash=True)).count() == 0 and L.scan_licences(empty(spark)).count() == 0
     rows = spark.createDataFrame([(None, "All rights reserved.", "en", "s", 1)] * 2, DOC)
