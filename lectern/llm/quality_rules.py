@@ -6,8 +6,8 @@ and a document of which the removal leaves too little is rejected.
 
 Plan: the counting pass shuffles one 128-bit hash a line, never the text. What is above the limits is
 small: a host of d documents with l lines each has at most d * l / (MAX_SHARE * d) such lines. That
-table is counted; up to BROADCAST_ROWS it is joined to the documents as one broadcast row a host, so
-the text isn't shuffled; beyond it, an equi-join by host and line takes its place.
+table is counted; up to BROADCAST_ROWS keys (some 50 bytes each) it is joined to the documents as one
+broadcast row a host, so the text isn't shuffled; beyond it, an equi-join by host and line takes its place.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from lectern.llm._tables import keep, once, read_table
 #: A line is removed if more distinct documents of its host hold it than both of these allow.
 MIN_DOCS = 10
 MAX_SHARE = 0.005
-#: Only ORACLE_SQL has this limit: it takes no longer line for a frequent one, so there it can differ from the operator.
-MAX_LINE_CHARS = 200
 #: A document that lost lines is rejected if less than this share of its visible characters is left.
 MIN_LEFT = 0.5
 BROADCAST_ROWS = 1_000_000
@@ -33,24 +31,25 @@ def normal_line(line: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """The normalised line itself up to 48 characters, else two of its hashes: equal just for equal lines."""
-    n = normal_line(line)
-    return F.when(F.length(n) <= 48, n).otherwise(F.concat(F.lit("#"), F.hex(F.xxhash64(n)), F.hex(F.xxhash64(F.lit("b"), n))))
+    """Two 64-bit hashes of the normalised line; null for a line without letters and digits."""
+    key = lambda n: F.when(n != "", F.struct(F.xxhash64(n).alias("k1"), F.xxhash64(F.lit("b"), n).alias("k2")))
+    return F.get(F.transform(F.array(normal_line(line)), key), F.lit(0))  # so that the line is normalised once
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _counted(line: Column) -> Column:
-    return normal_line(line) != ""
+def _keys(text: Column) -> Column:
+    """The keys of a text's lines."""
+    return F.array_compact(F.transform(_lines(text), line_key))
 
 
 def frequent_lines(docs: DataFrame) -> DataFrame:
     """(host, key, n_docs) of the lines above their host's limit; a null source is a host of its own, named ''."""
     host = F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host")
-    base = docs.select(F.col("doc_id").alias("doc"), host, _lines(F.col("text")).alias("lines"))
-    keys = base.select("doc", "host", F.explode(F.array_distinct(F.transform(F.filter("lines", _counted), line_key))).alias("key"))
+    base = docs.select(F.col("doc_id").alias("doc"), host, F.col("text"))
+    keys = base.select("doc", "host", F.explode(_keys(F.col("text"))).alias("key"))
     counts = keys.distinct().groupBy("host", "key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > MIN_DOCS)
     totals = base.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("total"))
     return counts.join(totals, "host").where(F.col("n_docs") > F.col("total") * MAX_SHARE).select("host", "key", "n_docs")
@@ -68,20 +67,19 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed", "kept")
     often = keep(frequent_lines(docs).select("host", "key"), "frequent")
-    size = often.groupBy("host").count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    # a line is looked for in one of many small lists, not in all of its host's
-    lists = 1 << min(12, max(0, (size["most"] or 1).bit_length() - 2))
-    place = lambda key: F.pmod(F.xxhash64(key), F.lit(lists)).cast("int")
-    none = F.array().cast("array<string>")
-    if (size["all"] or 0) <= broadcast_rows:
-        by_list = often.groupBy("host", place(F.col("key")).alias("at")).agg(F.collect_set("key").alias("keys"))
-        by_host = by_list.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("at", "keys"))).alias("m"))
-        by_host = by_host.select(F.col("host").alias("_lectern_host"), F.transform(F.sequence(F.lit(0), F.lit(lists - 1)), lambda i: F.coalesce(F.element_at("m", i), none)).alias("_lectern_often"))
+    if often.count() <= broadcast_rows:
+        # a line is looked for in one of many small lists, four lines each, not in all of its host's
+        sizes = often.groupBy("host").agg(F.ceil(F.count("*") / 4).cast("int").alias("lists"))
+        place = lambda key, lists: F.pmod(F.xxhash64(key["k1"]), lists).cast("int")
+        filled = often.join(sizes, "host").groupBy("host", place(F.col("key"), F.col("lists")).alias("at")).agg(F.collect_set("key").alias("keys"))
+        all_ = sizes.select("host", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("at")).join(filled, ["host", "at"], "left")
+        entry = F.struct("at", F.coalesce("keys", F.array().cast("array<struct<k1:bigint,k2:bigint>>")).alias("keys"))
+        by_host = all_.groupBy(F.col("host").alias("_lectern_host")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["keys"]).alias("_lectern_often"))
         joined = docs.join(F.broadcast(by_host), host == by_host["_lectern_host"], "left")
-        known = lambda key: F.array_contains(F.get("_lectern_often", place(key)), key)
+        known = lambda key: F.array_contains(F.get("_lectern_often", place(key, F.size("_lectern_often"))), key)
     else:
-        base = docs.select(F.col("doc_id").alias("_lectern_doc"), host.alias("host"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _counted), line_key))).alias("key"))
+        base = docs.select(F.col("doc_id").alias("_lectern_doc"), host.alias("host"), F.explode(_keys(F.col("text"))).alias("key"))
         mine = base.distinct().join(often, ["host", "key"]).groupBy("_lectern_doc", F.col("host").alias("_lectern_host")).agg(F.collect_set("key").alias("_lectern_often"))
         joined = docs.join(mine, docs["doc_id"].eqNullSafe(mine["_lectern_doc"]) & (host == mine["_lectern_host"]), "left")
         known = lambda key: F.array_contains("_lectern_often", key)
@@ -89,7 +87,7 @@ def judge(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     bare = lambda c: F.length(F.regexp_replace(c, "\\s+", ""))
     # lines are normalised once
     keys = F.transform(lines, line_key)
-    gone = F.transform("_lectern_keys", lambda k: F.coalesce(k != "", F.lit(False)) & known(k))
+    gone = F.transform("_lectern_keys", lambda k: F.coalesce(known(k), F.lit(False)))
     out = once(joined, "_lectern_keys", F.when(F.col("_lectern_often").isNotNull(), keys))
     out = once(out, "_lectern_gone", gone)
     left = F.filter(lines, lambda x, i: ~F.get("_lectern_gone", i))
@@ -116,8 +114,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = f"""
 WITH raw AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, coalesce(source, '') AS host, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM raw),
-k AS (SELECT *, CASE WHEN length(line) <= {MAX_LINE_CHARS} THEN
-        nullif(trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')), '') END AS key FROM l),
+k AS (SELECT *, nullif(trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')), '') AS key FROM l),
 c AS (SELECT host, key, count(DISTINCT doc_id) AS n FROM k WHERE key IS NOT NULL GROUP BY host, key),
 t AS (SELECT coalesce(source, '') AS host, count(DISTINCT doc_id) AS total FROM raw GROUP BY 1),
 often AS (SELECT host, key FROM c JOIN t USING (host) WHERE n > {MIN_DOCS} AND n > total * {MAX_SHARE}),
