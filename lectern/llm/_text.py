@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -148,26 +149,35 @@ def document_hashes(t: Tokens, docs: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0][:docs], out[1][:docs]
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter or digit."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+
+
 def fold(array: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-    """One byte a character: lower case, each run of other characters than letters and digits one space.
+    """The code points of the texts in lower case, each run of other characters than letters and digits (of any script) one space.
 
-    A character beyond ASCII is stood for by its last UTF-8 byte, which keeps its length of one.
-    Each row that has any ends in one space. Returns the bytes and the n + 1 places where rows begin.
+    Each row that has any ends in one space. Returns the code points and the n + 1 places where rows begin.
     """
     data, at = raw(pc.utf8_lower(array))
     if not len(array):
-        return data, at
-    end = np.zeros(len(data) + len(array), bool)
-    whole = np.full(len(end), 32, np.uint8)
+        return np.empty(0, np.uint32), at
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+    end = np.zeros(len(points) + len(array), bool)
+    whole = np.full(len(end), 32, np.uint32)
     row = np.repeat(np.arange(len(array)), np.diff(at))
-    whole[np.arange(len(data)) + row] = np.where(_WORD[data], data, 32)
+    whole[np.arange(len(points)) + row] = np.where(_letters()[points], points, 32)
     end[at[1:] + np.arange(len(array))] = True
     begin = np.concatenate([[True], end[:-1]])
     space = whole == 32
-    lead = np.zeros(len(whole), bool)
-    lead[:-1] = (whole[:-1] >= 0xC0) & (whole[1:] >= 0x80) & (whole[1:] < 0xC0)
-    lead[:-1] |= (whole[:-1] >= 0x80) & (whole[:-1] < 0xC0) & (whole[1:] >= 0x80) & (whole[1:] < 0xC0)
     after_space = np.concatenate([[True], space[:-1]])
-    keep = ~lead & ~(space & (after_space | begin))
+    keep = ~(space & (after_space | begin))
     kept = np.concatenate([[0], np.cumsum(keep)])
     return whole[keep], kept[np.concatenate([[0], at[1:] + np.arange(1, len(array) + 1)])]
+
+
+def low_bytes(points: np.ndarray) -> np.ndarray:
+    """One byte a code point, the same for the same one; ASCII as it is."""
+    return (points ^ (points >> np.uint32(7)) * np.uint32(29)).astype(np.uint8)

@@ -5,7 +5,9 @@ e = floor(EDITS * n) edits of the whole item. By the q-gram lemma such a stretch
 n + 1 - q(e + 1) q-grams with the item, and as an alignment with e edits wanders over at most e + 1
 diagonals (place in the document less place in the item), they lie within one band of that width.
 Bands 2w wide that begin every w >= e + 1 diagonals overlap so that each such band is inside one.
-Bands with enough shared q-grams are verified by an alignment confined to them, which decides.
+Bands with enough shared q-grams are verified by an alignment confined to them, which decides. The
+q-grams are of one byte a character, so letters of other scripts may be taken for each other there, which
+only lets more bands pass; the alignment compares the characters themselves.
 
 Plan: one scan, no shuffle. The items' q-grams, sorted, go to the tasks by broadcast. Their size is
 measured first; items beyond ITEM_BYTES are split into portions, each with a scan of its own, so what
@@ -30,12 +32,14 @@ EDITS = 0.08
 ITEM_BYTES = 8 << 20
 _BITS = 22
 _FAR = 1 << 20
+OUTSIDE = np.uint32(0xFFFFFFFF)
 
 FOUND = "doc_id long, item_id long, edits int, item_chars int, found_at int, found_end int"
 
 
 def qgrams(text: np.ndarray) -> np.ndarray:
-    """One 64-bit value for each Q bytes in a row: eight as they are, mixed with the last two."""
+    """One 64-bit value for each Q characters in a row, of a byte each: eight as they are, mixed with the last two."""
+    text = T.low_bytes(text)
     n = len(text) - Q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -123,9 +127,9 @@ def banded_alignment(item: np.ndarray, e: int, texts: list[np.ndarray], first: n
     size = np.array([len(x) for x in texts])
     cost[(place >= 0) & (place <= size[:, None])] = 0
     begin = place.copy()
-    # the texts' characters along the band, 256 outside
+    # the texts' characters along the band, OUTSIDE before and after them
     reach = span + n
-    line = np.full((many, reach), 256, np.int16)
+    line = np.full((many, reach), OUTSIDE, np.uint32)
     for r, x in enumerate(texts):
         a, b = max(0, low[r]), min(len(x), low[r] + reach)
         if a < b:
@@ -134,7 +138,7 @@ def banded_alignment(item: np.ndarray, e: int, texts: list[np.ndarray], first: n
     for i in range(n):
         # diagonal: item[i] against the text's character at place i + low + j; up: item[i] dropped
         diagonal = cost + (line[:, i : i + span] != item[i])
-        diagonal[line[:, i : i + span] == 256] = _FAR
+        diagonal[line[:, i : i + span] == OUTSIDE] = _FAR
         up = np.full_like(cost, _FAR)
         up[:, :-1] = cost[:, 1:] + 1
         up_begin = np.zeros_like(begin)
@@ -204,8 +208,8 @@ def _portions(benchmark: DataFrame, item_bytes: int) -> Iterator[tuple[list[int]
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """One row for each document and each benchmark item that it holds, with the place and number of edits of the best match.
 
-    Texts are compared in lower case, runs of other characters than letters and digits as one space;
-    places and lengths count such characters. On ties of edits the first place is reported. Items of
+    Texts are compared in lower case, character by character, runs of other characters than letters and
+    digits (of any script) as one space; places and lengths count characters after that. On ties of edits the first place is reported. Items of
     fewer than Q characters hold no q-gram and are never reported, nor null ones; a null item_id is reported as such. Null and empty
     documents match nothing. Rows with a null doc_id are reported with a null doc_id. Repeated documents
     and repeated items are each reported. Empty tables give an empty result; other columns aren't looked at.

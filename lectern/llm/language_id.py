@@ -1,7 +1,7 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter (a character in lower case, runs of other characters than letters and digits as one
-space) has a random vector of D entries +1 or -1. Three letters in a row are bound to one vector: the
+Each letter (a character of any script in lower case, runs of other characters than letters and digits
+as one space) has a random vector of D entries +1 or -1, drawn from a hash of its code point. Three letters in a row are bound to one vector: the
 first permuted twice (rolled by 2), the second once, the third not at all, multiplied entry by entry.
 A document is the bundle (sum) of its n-gram vectors; a language's prototype the bundle of its sample's
 documents, each at the same length. A document gets the language of the prototype of largest cosine.
@@ -30,21 +30,30 @@ PER_LANGUAGE = 500
 UNIT = 1 << 20
 IDENTIFIED = "doc_id long, language string, cosine double, margin double"
 
-_LETTERS = (np.random.default_rng(8128).integers(0, 2, (256, D)) * 2 - 1).astype(np.int8)
-_TWICE, _ONCE = np.roll(_LETTERS, 2, axis=1), np.roll(_LETTERS, 1, axis=1)
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """[points, D] of +1 and -1: the bits of D / 64 hashes of each code point."""
+    words = T.mix64(T.mix64(points.astype(np.uint64) * T.GOLDEN + T.U64(8128))[:, None] + np.arange(1, D // 64 + 1, dtype=np.uint64) * T._BASE)
+    bits = words[:, :, None] >> np.arange(64, dtype=np.uint64) & T.U64(1)
+    return (bits.reshape(len(points), D).astype(np.int8) * 2 - 1).astype(np.int8)
 
 
 def bundles(texts: pa.LargeStringArray) -> np.ndarray:
     """The documents' vectors [documents, D], exact sums of n-gram vectors; zeros for fewer than three letters."""
-    data, at = T.fold(texts)
-    docs, n = len(texts), len(data) - 2
+    points, at = T.fold(texts)
+    docs, n = len(texts), len(points) - 2
     if n <= 0:
         return np.zeros((docs, D), np.float32)
     doc = np.repeat(np.arange(docs), np.diff(at))[:n]
     inside = np.arange(n) + 3 <= at[doc + 1]
-    gram = (data[:-2].astype(np.int32) << 16 | data[1:-1].astype(np.int32) << 8 | data[2:])[inside]
+    seen = np.bincount(points, minlength=1).astype(bool)
+    letters = np.flatnonzero(seen)
+    rank = (np.cumsum(seen) - 1)[points]
+    many = len(letters)
+    gram = ((rank[:-2] * many + rank[1:-1]) * many + rank[2:])[inside]
     kinds, which = np.unique(gram, return_inverse=True)
-    vectors = (_TWICE[kinds >> 16] * _ONCE[kinds >> 8 & 255] * _LETTERS[kinds & 255]).astype(np.float32)
+    plain = letter_vectors(letters)
+    twice, once = np.roll(plain, 2, axis=1), np.roll(plain, 1, axis=1)
+    vectors = (twice[kinds // many // many] * once[kinds // many % many] * plain[kinds % many]).astype(np.float32)
     counts = np.bincount(doc[inside] * len(kinds) + which, minlength=docs * len(kinds)).reshape(docs, -1)
     return counts.astype(np.float32) @ vectors
 
