@@ -5,7 +5,9 @@ dashes, comment marks and line breaks vanish). A hash of the tokens looks the se
 known ones, so all but a few sentences end there; known ones that hold a stop themselves are looked up
 by as many sentences in a row. What was found in a document is, in its order, a
 sequence of identifiers; a rule is an ordered list of them. Longer rules go first, a sentence counts
-for one rule, and between two sentences of a rule at most GAP tokens of other text may lie.
+for one rule, and between two sentences of a rule at most GAP tokens of other text may lie, or LONG_GAP
+in a rule for a long licence's text, of which some telling sentences are known. Of the ways in which a rule
+can match from a sentence on, the first in the order of the text counts.
 
 Plan: one scan, no shuffle; sentences are hashed for many documents at once, in numpy. The rules are
 part of the program and don't grow with the data.
@@ -13,6 +15,7 @@ part of the program and don't grow with the data.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,7 @@ from lectern.llm import _text as T
 from lectern.llm._tables import read_table
 
 GAP = 40
+LONG_GAP = 3000
 
 SENTENCES: dict[str, list[str]] = {
     "mit.notice": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "This software is released under the MIT License", "SPDX-License-Identifier: MIT"],
@@ -67,10 +71,134 @@ SENTENCES: dict[str, list[str]] = {
     "ccbync.notice": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "ccbysa.notice": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc0.notice": ["Licensed under CC0 1.0", "This work is dedicated to the public domain under CC0 1.0"],
+    "apache.title": ["Apache License", "Apache License Version 2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"],
+    "apache.definition": ['"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document'],
+    "apache.contribution": [
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to "
+        "reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"
+    ],
+    "terms.end": ["END OF TERMS AND CONDITIONS"],
+    "gnu.verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
+    "gpl3.text": ["The GNU General Public License is a free, copyleft license for software and other kinds of works"],
+    "gpl2.text": ["The licenses for most software are designed to take away your freedom to share and change it"],
+    "gpl2.intended": ["By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users"],
+    "lgpl3.text": ["This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below"],
+    "lgpl21.text": ["This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it"],
+    "lgpl.free": ["This library is free software"],
+    "lgpl.terms": ["You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "lgpl21.later": ["Either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3.later": ["Either version 3 of the License, or (at your option) any later version"],
+    "lgpl.hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "lgpl.see": ["See the GNU Lesser General Public License for more details"],
+    "agpl3.text": [
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software"
+    ],
+    "agpl3.free": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ],
+    "agpl3.terms": [
+        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ],
+    "agpl.see": ["See the GNU Affero General Public License for more details"],
+    "unlicense.free": ["This is free and unencumbered software released into the public domain"],
+    "unlicense.anyone": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"
+    ],
+    "epl2.header": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "epl2.text": [
+        f'The accompanying program is provided under the terms of this Eclipse Public License ("Agreement"){end}' for end in ("", ". Any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement")
+    ],
+    "bsl.grant": [
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, '
+        "display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"
+    ],
+    "zlib.as-is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib.liability": ["In no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib.grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "0bsd.grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc.warranty": ["The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "isc.liability": [
+        "In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of "
+        "contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software"
+    ],
+    "bsd.advertising": [f"{n}All advertising materials mentioning features or use of this software must display the following acknowledgement" for n in ("", "3. ")],
+    "bsd.warranty": [
+        f"This software is provided by the {who} as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+        for who in ("copyright holders and contributors", "author", "regents and contributors")
+    ],
+    "mpl.title": ["Mozilla Public License Version 2.0"],
+    "mpl.copy": [f"If a copy of the MPL was not distributed with this file, You can obtain one at {at}" for at in ("http://mozilla.org/MPL/2.0/", "https://mozilla.org/MPL/2.0/")],
+    "ccby.text": [
+        'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License ("Public License")'
+    ],
+    "ccbysa.text": [
+        'By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License ("Public License")'
+    ],
+    "cc0.title": ["CC0 1.0 Universal"],
     "reserved": ["All rights reserved"],
 }
-#: (licence, kind, identifiers in order).
+#: Licences named alone: their identifier, and how they are called in notices.
+NAMED = {
+    "LGPL-2.1-only": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1"),
+    "LGPL-3.0-only": ("GNU Lesser General Public License, version 3", "GNU LGPL v3"),
+    "AGPL-3.0-only": ("GNU Affero General Public License, version 3", "GNU AGPL v3"),
+    "GPL-2.0-only": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License", "2-clause BSD license"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "3-clause BSD license"),
+    "ISC": ("ISC License",),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License, version 2.0"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "0BSD": ("Zero-Clause BSD License",),
+    "Artistic-2.0": ("Artistic License 2.0",),
+    "CC-BY-SA-3.0": ("CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+    "CC-BY-3.0": ("CC BY 3.0", "Creative Commons Attribution 3.0 Unported License"),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "OFL-1.1": ("SIL Open Font License, Version 1.1",),
+    "LGPL-2.1-or-later": (),
+    "LGPL-3.0-or-later": (),
+    "AGPL-3.0-or-later": (),
+    "GPL-2.0-or-later": (),
+    "CC-BY-4.0": (),
+    "CC-BY-SA-4.0": (),
+    "CC-BY-NC-4.0": (),
+    "CC0-1.0": (),
+}
+_SAID = ("Licensed under the {}", "Licensed under {}", "This work is licensed under the {}", "This work is licensed under a {}", "This project is licensed under the {}", "Released under the {}", "This software is released under the {}", "Distributed under the {}")
+SENTENCES |= {f"named.{k}": [f"SPDX-License-Identifier: {k}", *[t.format(n) for n in names for t in _SAID]] for k, names in NAMED.items()}
+#: (licence, kind, identifiers in order); kind "long" allows LONG_GAP tokens between them and is told as "text".
 RULES: list[tuple[str, str, tuple[str, ...]]] = [
+    ("Apache-2.0", "long", ("apache.title", "apache.definition", "apache.contribution", "terms.end")),
+    ("GPL-3.0", "long", ("gnu.verbatim", "gpl3.text", "terms.end")),
+    ("GPL-2.0", "long", ("gnu.verbatim", "gpl2.text", "gpl2.intended", "terms.end")),
+    ("LGPL-3.0", "long", ("gnu.verbatim", "lgpl3.text")),
+    ("LGPL-2.1", "long", ("gnu.verbatim", "gpl2.text", "lgpl21.text", "terms.end")),
+    ("AGPL-3.0", "long", ("gnu.verbatim", "agpl3.text", "terms.end")),
+    ("MPL-2.0", "header", ("mpl.terms", "mpl.copy")),
+    ("MPL-2.0", "partial", ("mpl.title",)),
+    ("LGPL-2.1-or-later", "header", ("lgpl.free", "lgpl.terms", "lgpl21.later", "lgpl.hope", "gpl.implied", "lgpl.see")),
+    ("LGPL-3.0-or-later", "header", ("lgpl.free", "lgpl.terms", "lgpl3.later", "lgpl.hope", "gpl.implied", "lgpl.see")),
+    ("AGPL-3.0-or-later", "header", ("agpl3.free", "gpl.hope", "gpl.implied", "agpl.see")),
+    ("AGPL-3.0-or-later", "header", ("gpl.free", "agpl3.terms", "gpl.hope", "gpl.implied", "agpl.see")),
+    ("Unlicense", "text", ("unlicense.free", "unlicense.anyone")),
+    ("Unlicense", "partial", ("unlicense.free",)),
+    ("EPL-2.0", "header", ("epl2.header",)),
+    ("EPL-2.0", "partial", ("epl2.text",)),
+    ("BSL-1.0", "partial", ("bsl.grant",)),
+    ("Zlib", "text", ("zlib.as-is", "zlib.liability", "zlib.grant")),
+    ("0BSD", "text", ("0bsd.grant", "isc.warranty", "isc.liability")),
+    ("ISC", "text", ("isc.grant", "isc.warranty", "isc.liability")),
+    ("BSD-4-Clause", "text", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.advertising", "bsd.name")),
+    ("BSD-3-Clause", "text", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.name", "bsd.warranty")),
+    ("BSD-2-Clause", "text", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.warranty")),
+    ("CC-BY-4.0", "partial", ("ccby.text",)),
+    ("CC-BY-SA-4.0", "partial", ("ccbysa.text",)),
+    ("CC0-1.0", "partial", ("cc0.title",)),
+    *[(k, "notice", (f"named.{k}",)) for k in NAMED],
     ("MIT", "text", ("mit.title", "mit.grant", "mit.condition", "mit.warranty", "mit.liability")),
     ("MIT", "text", ("mit.grant", "mit.condition", "mit.warranty", "mit.liability")),
     ("MIT", "partial", ("mit.grant",)),
@@ -174,25 +302,38 @@ class Rules:
         return sorted(out)
 
     def match(self, found: list[tuple[int, int, str]]) -> list[tuple[str, str, list[str], int, int]]:
-        """(licence, kind, identifiers, first token, last token) of one text's sentences (first, last, identifier)."""
+        """(licence, kind, identifiers, first token, last token) of one text's sentences (first, last, identifier), in order."""
         free, out = [True] * len(found), []
+        places: dict[str, list[int]] = {}
+        for i, (_, _, name) in enumerate(found):
+            places.setdefault(name, []).append(i)
         for licence, kind, names in self.rules:
-            for start in range(len(found)):
-                took, end = [], -1
-                for i in range(start, len(found)):
-                    if took and found[i][0] - end - 1 > GAP:
-                        break
-                    if free[i] and found[i][2] == names[len(took)] and found[i][0] > end:
-                        took.append(i)
-                        end = found[i][1]
-                        if len(took) == len(names):
-                            break
-                    elif not took:
+            if any(n not in places for n in names):
+                continue
+            gap = LONG_GAP if kind == "long" else GAP
+            dead: set[tuple[int, int]] = set()
+
+            def rest(i: int, k: int) -> list[int] | None:
+                """The first places of names[k:] behind sentence i, if there are any."""
+                if k == len(names):
+                    return []
+                if (i, k) in dead:
+                    return None
+                mine = places[names[k]]
+                for j in mine[bisect_right(mine, i) :]:
+                    if found[j][0] - found[i][1] - 1 > gap:
                         break
-                if len(took) == len(names):
-                    for i in took:
+                    if free[j] and found[j][0] > found[i][1] and (more := rest(j, k + 1)) is not None:
+                        return [j, *more]
+                dead.add((i, k))
+                return None
+
+            for start in places[names[0]]:
+                if free[start] and (more := rest(start, 1)) is not None:
+                    for i in (start, *more):
                         free[i] = False
-                    out.append((licence, kind, list(names), found[took[0]][0], end))
+                    last = (more or [start])[-1]
+                    out.append((licence, "text" if kind == "long" else kind, list(names), found[start][0], found[last][1]))
         return sorted(out, key=lambda m: (m[3], m[4], m[0]))
 
 
