@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urlsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lectern.functions.text import strip
 
@@ -86,18 +91,95 @@ def author_prefixes(body: Column) -> Column:
 
 
 def language_tag(value: Column) -> Column:
-    """Language in lower case, script with a capital, region in capitals; any Chinese of China as zh."""
-    parts = F.split(F.replace(strip(value), F.lit("_"), F.lit("-")), "-")
-    shaped = F.transform(parts, lambda p, i: F.when(i == 0, F.lower(p)).when(F.length(p) == 4, F.initcap(F.lower(p))).when(F.length(p) == 2, F.upper(p)).otherwise(F.lower(p)))
+    """The language in lower case, parts of two letters behind it in capitals, others in lower case; zh-CN as zh. Null for what is no tag."""
+    shaped = F.transform(F.split(value, "-"), lambda p, i: F.when((i > 0) & p.rlike("^[A-Za-z]{2}$"), F.upper(p)).otherwise(F.lower(p)))
     tag = F.array_join(shaped, "-")
-    return F.when(tag == "zh-CN", "zh").otherwise(tag)
+    return F.when(value.rlike("^[A-Za-z]{2,8}(-[A-Za-z0-9]{2,8}){0,3}$"), F.when(tag == "zh-CN", "zh").otherwise(tag))
+
+
+_ADDRESS = re.compile(r"https?://[^\s<>\"']+")
+_SECRET = re.compile(r"(?i)\b(bearer|cookie|authorization|token|api[_-]?key)(\s*[:=]\s*|\s+)[^\s,;]+")
+HIDDEN = "<redacted>"
+
+
+def _bare_address(found: re.Match) -> str:
+    raw = found[0].rstrip(".,);]")
+    try:
+        u = urlsplit(raw)
+        place = (u.hostname or "") + (f":{u.port}" if u.port else "")
+    except ValueError:
+        return f"<redacted-url>{found[0][len(raw) :]}"
+    more = f"?{HIDDEN}" if u.query or u.fragment or u.username or u.password else ""
+    return f"{u.scheme}://{place}{u.path}{more}{found[0][len(raw) :]}"
+
+
+def redacted(text: str, secrets: tuple[str, ...] = (), most: int = 4000) -> str:
+    for s in sorted(filter(None, secrets), key=len, reverse=True):
+        text = text.replace(s, HIDDEN)
+    return _SECRET.sub(lambda m: m[1] + m[2] + HIDDEN, _ADDRESS.sub(_bare_address, text))[:most]
+
+
+def redact(text: Column, secrets: tuple[str, ...] = (), most: int = 4000) -> Column:
+    """Given secrets, what web addresses carry besides host and path, and values behind names of secrets as <redacted>; at most `most` characters.
+
+    Hosts are put in lower case, which no pattern's replacement can do, so this is a Python function over Arrow batches.
+    """
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else redacted(t, secrets, most))
+
+    return run(text)
+
+
+_LINK = "\\[\\[([^\\]|]+)(?:\\|([^\\]]+))?\\]\\]"
+
+
+def wikilink_slug(value: Column) -> Column:
+    """What a value that begins with a wiki link points to; '' for others."""
+    return F.coalesce(F.regexp_extract(strip(value), f"^{_LINK}", 1), F.lit(""))
+
+
+def wikilink_display(value: Column) -> Column:
+    """How a wiki link is shown, or the value without double quotes around it."""
+    v = F.coalesce(strip(value), F.lit(""))
+    shown = F.regexp_extract(v, f"^{_LINK}", 2)
+    return F.when(wikilink_slug(v) != "", F.when(shown != "", shown).otherwise(wikilink_slug(v))).otherwise(F.regexp_replace(v, '^"+|"+$', ""))
+
+
+def without_wikilinks(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(value, "\\[\\[[^\\]|]+\\|([^\\]]+)\\]\\]", "$1"), "\\[\\[([^\\]]+)\\]\\]", "$1")
 
 
-def redact(text: Column, most: int = 4000) -> Column:
-    """Secrets, credentials and queries of addresses masked; at most `most` characters."""
-    out = F.regexp_replace(text, "(?i)\\b(api[_-]?key|authorization|password|secret|token)(\\s*[=:]\\s*)\\S+", "$1$2***")
-    out = F.regexp_replace(out, "(https?://)[^/\\s@]+@", "$1")
-    return F.left(F.regexp_replace(out, "(https?://[^\\s?#]+)[?#]\\S*", "$1"), F.lit(most))
+def clean_authors(names: Column) -> Column:
+    """Names without wiki links, blanks and quotes around them; empty ones left out."""
+    bare = lambda n: strip(F.regexp_replace(strip(without_wikilinks(n)), "^['\"]+|['\"]+$", ""))
+    return F.coalesce(F.filter(F.transform(names, bare), lambda n: n != ""), F.array().cast("array<string>"))
+
+
+def clean_title(title: Column, authors: Column) -> Column:
+    """A title without wiki links and stars, its first author and a comma before it, and the words for an overview behind it."""
+    t = F.regexp_replace(without_wikilinks(F.coalesce(strip(title), F.lit(""))), "\\*+([^*]+)\\*+", "$1")
+    first = F.coalesce(F.get(authors, F.lit(0)), F.lit(""))
+    led = (first != "") & F.startswith(F.lower(t), F.concat(F.lower(first), F.lit(",")))
+    t = F.when(led, F.regexp_replace(F.substring(t, F.length(first) + 2, F.length(t)), "^\\s+", "")).otherwise(t)
+    return strip(F.regexp_replace(t, "\\s*(?:\\([0-9]{4}\\)\\s*)?[—-]\\s*书籍?概览\\s*$", ""))
+
+
+def before_colon(title: Column) -> Column:
+    """What is before a title's first colon; null without one."""
+    return F.when(title.contains(":"), strip(F.element_at(F.split(title, ":"), 1)))
+
+
+def last_name(author: Column) -> Column:
+    return F.coalesce(F.element_at(F.split(strip(author), "\\s+"), -1), F.lit(""))
+
+
+def pick_isbn(isbns: Column) -> Column:
+    """The first ISBN of 13 digits, else the first one's digits and X; null for none."""
+    long_ = F.filter(F.transform(isbns, lambda i: F.regexp_replace(i, "[^0-9]", "")), lambda d: F.length(d) == 13)
+    first = F.regexp_replace(F.upper(F.get(isbns, F.lit(0))), "[^0-9X]", "")
+    return F.coalesce(F.get(long_, F.lit(0)), F.when(first != "", first))
 
 
 def fingerprint(*columns: Column) -> Column:
@@ -108,3 +190,50 @@ def fingerprint(*columns: Column) -> Column:
 
 def epoch_ms_date(ms: Column) -> Column:
     return F.timestamp_millis(ms.cast("long")).cast("date")
+
+
+def subject_url(raw: Column) -> Column:
+    """The one spelling of a subject's address, by its number; null for its child pages and others."""
+    pattern = "^https?://book\\.douban\\.com/subject/([0-9]+)/*(?:[?][^#]*)?(?:#.*)?$"
+    number = F.regexp_extract(strip(raw), pattern, 1)
+    return F.when(number != "", F.concat(F.lit("https://book.douban.com/subject/"), number, F.lit("/")))
+
+
+def whole_second_utc(ts: Column) -> Column:
+    """A timestamp as UTC to the second, with a Z."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def file_name(slot: Column, title: Column, ext: str = "txt") -> Column:
+    """slot_title.ext, the title cut to 50 characters of letters, digits, blanks and hyphens, blanks as underscores."""
+    safe = F.substring(F.regexp_replace(F.coalesce(title, F.lit("")), "(?U)[^\\w\\s-]", ""), 1, 50)
+    return F.concat(slot, F.lit("_"), F.regexp_replace(F.regexp_replace(safe, "\\s+", "_"), "^_+|_+$", ""), F.lit(f".{ext}"))
+
+
+def chapter_slug(slot: Column, title: Column) -> Column:
+    """A chapter's slug: its title without the chapter's number, in ASCII; section-slot where nothing is left; at most 60 characters, cut at a hyphen."""
+    from lectern.functions.text import without_accents
+    from lectern.operators.segment import CHAPTER_NUMBER
+
+    t = F.coalesce(strip(title), F.lit(""))
+    rest = t
+    for p in reversed(CHAPTER_NUMBER):
+        rest = F.when(t.rlike(p), F.regexp_replace(t, p, "")).otherwise(rest)
+    rest = F.regexp_replace(rest, "^[ :：.—–\\t-]+|[ :：.—–\\t-]+$", "")
+    base = F.when(rest.rlike("(?U)\\w"), rest).otherwise(t)
+    hyphens = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
+    plain = hyphens(F.regexp_replace(without_accents(base), "[^\\x00-\\x7f]", ""))
+    bare = hyphens(F.lower(slot))
+    s = F.when(plain != "", plain).otherwise(F.concat(F.lit("section-"), F.when(bare != "", bare).otherwise("00")))
+    cut = F.regexp_extract(F.substring(s, 1, 60), "^(.*)-[^-]*$", 1)
+    return F.regexp_replace(F.when(F.length(s) > 60, F.when(cut != "", cut).otherwise(F.substring(s, 1, 60))).otherwise(s), "^-+|-+$", "")
+
+
+def filter_signature() -> str:
+    """A digest of the titles that are left out of books; it changes with any of them."""
+    import hashlib
+    import json
+
+    from lectern.operators.segment import FURNITURE
+
+    return hashlib.sha256(json.dumps(sorted(FURNITURE), ensure_ascii=False).encode()).hexdigest()

@@ -153,6 +153,19 @@ def inverted_index_text(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(entries), lambda e: e["word"]), " ")
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def positions(words: pd.Series) -> pd.Series:
+    """map(word, positions) of a list of words, without any shuffle."""
+
+    def one(ws) -> dict:
+        out: dict[str, list[int]] = {}
+        for i, w in enumerate(ws if ws is not None else ()):
+            out.setdefault(w, []).append(i)
+        return out
+
+    return words.map(one)
+
+
 YEAR = "\\b((?:19|20)[0-9]{2})\\b"
 
 

@@ -165,7 +165,11 @@ def keep_first(rows: DataFrame, key: Column | str, *order: Column | str) -> Data
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+EDITION_POINTS = {"isbn_13": 20, "page_count": 15, "publisher": 15, "isbn_10": 10, "year": 5}
+
+
 def best_edition(editions: DataFrame, key: str, idx: str = "idx") -> DataFrame:
-    """The most complete edition of each key: 20 for an ISBN, 10 for pages, 15 for a publisher, 15 for a year, 5 for a cover; the first on ties."""
-    points = sum(F.when(~is_empty(F.col(c).cast("string")), p).otherwise(0) for c, p in (("isbn", 20), ("pages", 10), ("publisher", 15), ("year", 15), ("cover", 5)))
+    """The most complete edition of each key, by the points below; the first on ties. Empty texts and 0 give none."""
+    full = lambda c: F.coalesce(~F.col(c).cast("string").isin("", "0"), F.lit(False))
+    points = sum(F.when(full(c), p).otherwise(0) for c, p in EDITION_POINTS.items())
     return keep_first(editions.withColumn("score", points), key, F.col("score").desc(), idx)

@@ -9,19 +9,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.text import overlap, stars, year_in
-from lectern.operators.validate import ALIASES
+from lectern.functions.text import content_tokens, strip
+from lectern.operators.schemas import plain_lines
 
 HALF_TO_FULL = {",": "，", ";": "；", ":": "：", "?": "？", "!": "！"}
 _CJK = re.compile("[㐀-鿿]")
-_MASK = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]*`|\[\[[^\]]*\]\]|\]\([^)\n]*\)|https?://\S+", re.S)
+_INLINE = re.compile(r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)|\]\([^)\n]*\)|\[\[[^\]\n]*\]\]")
 _PAREN = re.compile(r"[(]([^\n()]*)[)]")
 REPAIRED = T.StructType([T.StructField("text", T.StringType()), T.StructField("changes", T.IntegerType())])
-RENAMES = {"author": "authors", "theme": "themes", "published": "year", "press": "publisher"}
+
+
+def masked(text: str) -> str:
+    """The text with blanks in the place of fenced, indented and inline code and of links' targets; as long as it was."""
+    lines = []
+    for line, plain in plain_lines(text.split("\n")):
+        lines.append(line if plain and not line.startswith(("    ", "\t")) else " " * len(line))
+    return _INLINE.sub(lambda m: " " * len(m[0]), "\n".join(lines))
 
 
 def _full_width(text: str) -> tuple[str, int]:
-    hidden = _MASK.sub(lambda m: "\0" * len(m[0]), text)
+    hidden = masked(text)
     out = list(text)
     for i, ch in enumerate(hidden):
         if ch not in HALF_TO_FULL:
@@ -44,64 +51,107 @@ def full_width_punctuation(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(done, columns=["text", "changes"])
 
 
-_QUOTED = re.compile(r'"([^"\n]*)"')
+_QUOTED = re.compile(r'(?<!\\)"([^"\n]{1,200})(?<!\\)"')
+_ENDS = re.compile("[。！？!?\n]")
 
 
 def _corner(text: str) -> tuple[str, int]:
-    hidden = _MASK.sub(lambda m: "\0" * len(m[0]), text)
     out, n = list(text), 0
-    for m in _QUOTED.finditer(hidden):
-        if _CJK.search(m[1]):
+    for m in _QUOTED.finditer(masked(text)):
+        if _CJK.search(text[m.start() : m.end()]):
             out[m.start()], out[m.end() - 1] = "「", "」"
             n += 2
     return "".join(out), n
 
 
+def sentence_around(text: str, start: int, end: int) -> str:
+    """The sentence that holds a span, its closing mark too, with single blanks."""
+    left = start
+    while left and not _ENDS.match(text[left - 1]):
+        left -= 1
+    right = _ENDS.search(text, end)
+    return " ".join(text[left : right.end() if right else len(text)].split())
+
+
+STYLE = T.ArrayType(T.StructType([*[T.StructField(n, T.StringType()) for n in ("id", "before", "after", "before_context", "after_context")], *[T.StructField(n, T.IntegerType()) for n in ("line", "column")]]))
+
+
+def style_changes(text: str) -> list[dict]:
+    """What the two repairs change in a file's text below its header, quotes first, with place and sentence before and after."""
+    from lectern.sources.markdown import header_end
+
+    out, skip = [], header_end(text)
+    head, text = text[:skip], text[skip:]
+    lines, last = head.count("\n"), len(head) - head.rfind("\n") - 1
+    for id_, repair in (("quote.cjk_ascii_quote", _corner), ("punctuation.cjk_halfwidth", _full_width)):
+        new, _ = repair(text)
+        at = [i for i, (a, b) in enumerate(zip(text, new, strict=True)) if a != b]
+        spans = [(a, b + 1) for a, b in zip(at[::2], at[1::2], strict=True)] if id_.startswith("quote") else [(i, i + 1) for i in at]
+        for a, b in spans:
+            before = sentence_around(text, a, b)
+            after = before.replace(text[a:b], new[a:b], 1) if id_.startswith("quote") else sentence_around(new, a, b)
+            out.append({"id": id_, "before": text[a:b], "after": new[a:b], "before_context": before, "after_context": after, "line": lines + text.count("\n", 0, a) + 1, "column": a - text.rfind("\n", 0, a) + (last if "\n" not in text[:a] else 0)})
+        text = new
+    return out
+
+
+@F.pandas_udf(STYLE)
+def _style_changes(text: pd.Series) -> pd.Series:
+    return pd.Series([style_changes(t) if t else [] for t in text])
+
+
+def style_diagnostics(files: DataFrame) -> DataFrame:
+    """(path, id, severity, status, line, column, before, after, before_context, after_context) of files (path, text); lines and columns from 1."""
+    rows = files.select("path", F.explode(_style_changes("text")).alias("c")).select("path", "c.*")
+    return rows.withColumns({"severity": F.lit("warning"), "status": F.lit("auto_fixed")})
+
+
 @F.pandas_udf(REPAIRED)
 def corner_quotes(text: pd.Series) -> pd.DataFrame:
     """Straight quotes around CJK as corner brackets."""
     return pd.DataFrame([(None, 0) if t is None else _corner(t) for t in text], columns=["text", "changes"])
 
 
-def fix_header(files: DataFrame) -> DataFrame:
-    """(path, type, fields, changes) of (path, type, fields map<string,string>) after the repairs, in this order.
-
-    The type to its present name; old field names to new ones, unless the new one is there; ratings in
-    stars to digits, others that aren't 1 to 5 dropped; years that aren't years dropped; empty fields dropped.
-    """
-    alias = F.create_map(*[F.lit(x) for p in ALIASES.items() for x in p])
-    kind = F.coalesce(F.element_at(alias, F.col("type")), F.col("type"))
-    old = F.create_map(*[F.lit(x) for p in RENAMES.items() for x in p])
-    to = lambda k, m: F.when(F.element_at(old, k).isNotNull() & ~F.map_contains_key(m, F.coalesce(F.element_at(old, k), k)), F.element_at(old, k)).otherwise(k)
-    renamed = F.transform_keys("fields", lambda k, v: to(k, F.col("fields")))
-    digit = lambda v: F.coalesce(stars(v).cast("string"), F.when(v.rlike("^[1-5]$"), v))
-    values = F.transform_values("__r", lambda k, v: F.when(k == "rating", digit(v)).when(k == "year", year_in(v).cast("string")).otherwise(v))
-    rows = files.withColumn("__t", kind).withColumn("__r", renamed).withColumn("__v", values)
-    final = F.map_filter("__v", lambda k, v: v.isNotNull() & (v != ""))
-    log = F.concat(
-        F.when(~F.col("type").eqNullSafe(F.col("__t")), F.array(F.concat(F.lit("type: "), "type", F.lit(" to "), "__t"))).otherwise(F.array().cast("array<string>")),
-        F.transform(F.array_except(F.map_keys("fields"), F.map_keys("__r")), lambda k: F.concat(F.lit("renamed: "), k)),
-        F.transform(F.map_keys(F.map_filter("__v", lambda k, v: v.isNull() | (v == ""))), lambda k: F.concat(F.lit("dropped: "), k)),
-        F.transform(F.map_keys(F.map_filter("__v", lambda k, v: v.isNotNull() & (v != "") & ~v.eqNullSafe(F.element_at("__r", k)))), lambda k: F.concat(F.lit("changed: "), k)),
-    )
-    return rows.select("path", F.col("__t").alias("type"), final.alias("fields"), F.array_sort(log).alias("changes"))
-
-
 def change_counts(fixed: DataFrame) -> DataFrame:
     """(change, n): the changes by their first word."""
     return fixed.select(F.explode("changes").alias("c")).groupBy(F.regexp_extract("c", "^([a-z]+)", 1).alias("change")).agg(F.count("*").alias("n"))
 
 
-def best_candidates(wanted: DataFrame, candidates: DataFrame, block: str, least: float = 0.55) -> DataFrame:
-    """The best candidate (title, year, publisher, idx) of each wanted row (rid, title, year), among those of its block.
+def best_candidates(wanted: DataFrame, candidates: DataFrame, block: str, least: float = 0.55, also: tuple[str, ...] = ("publisher",)) -> DataFrame:
+    """The best candidate (title, year, publisher, idx, ...) of each wanted row (rid, title, year), among those of its block.
+
+    Best is by the titles' overlap (from `least` on), the gap between the years (9999 where one is missing), how many
+    of the fields `also` it has, and the order given. So with ("doi",) for works, ("publisher", "isbn") for editions.
 
-    Best is by the titles' overlap (from `least` on), the gap between the years (9999 where one is missing),
-    whether there is a publisher, and the order given.
+    Titles are looked up by words: with overlap o of the smaller side's words, all but less than 1 - o of its words are
+    shared, so it is enough to look up either side's rarest words, as many as must hold one that is shared. Frequent
+    words make no pairs, and all pairs of a block are never formed.
     """
-    c = candidates.select(F.col(block).alias("__b"), *[F.col(x).alias(f"c_{x}") for x in ("title", "year", "publisher", "idx")])
-    pairs = wanted.join(c, wanted[block] == F.col("__b")).withColumn("overlap", overlap(F.col("title"), F.col("c_title"))).where(F.col("overlap") >= least)
+    c = candidates.select(F.col(block).alias("__b"), *[F.col(x).alias(f"c_{x}") for x in dict.fromkeys(("title", "year", *also, "idx"))])
+    w = wanted.withColumn("__b", F.col(block))
+    sides = [w.select("__b", F.col("rid").alias("__id"), content_tokens(F.col("title")).alias("__w")), c.select("__b", F.col("c_idx").alias("__id"), content_tokens(F.col("c_title")).alias("__w"))]
+    words = [s.select("__b", "__id", F.explode("__w").alias("word")) for s in sides]
+    rank = words[0].select("__b", "word").union(words[1].select("__b", "word")).groupBy("__b", "word").agg(F.count("*").alias("n"))
+    ordered = []
+    for s in words:
+        by_rarity = F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"])
+        ordered.append(s.join(rank, ["__b", "word"]).groupBy("__b", "__id").agg(by_rarity.alias("ws")))
+    # the smaller side's rarest size - ceil(least * size) + 1 words hold a shared one; either side may be the smaller
+    rare = lambda t: F.slice("ws", F.lit(1), F.size("ws") - F.ceil(F.size("ws") * least - 1e-9).cast("int") + 1)
+    key = lambda t, name, all_: t.select("__b", F.col("__id").alias(name), F.col("ws").alias(f"{name}_ws"), F.explode("ws" if all_ else rare(t)).alias("word"))
+    met = None
+    for a_all in (False, True):
+        part = key(ordered[0], "rid", a_all).join(key(ordered[1], "c_idx", not a_all), ["__b", "word"])
+        smaller = F.size("rid_ws") <= F.size("c_idx_ws")
+        part = part.where(~smaller if a_all else smaller).select("rid", "c_idx", "__b", "rid_ws", "c_idx_ws")
+        met = part if met is None else met.union(part)
+    shared = F.size(F.array_intersect("rid_ws", "c_idx_ws")) / F.least(F.size("rid_ws"), F.size("c_idx_ws"))
+    met = met.withColumn("overlap", shared).where(F.col("overlap") >= least).select("rid", F.col("__b").alias("b"), F.col("c_idx").alias("i"), "overlap").distinct()
+    pairs = w.join(met.withColumnRenamed("rid", "__rid"), (F.col("rid") == F.col("__rid")) & (F.col("__b") == F.col("b"))).drop("__b", "__rid")
+    pairs = pairs.join(c, (F.col("b") == F.col("__b")) & (F.col("i") == F.col("c_idx"))).drop("b", "i")
     known = (F.coalesce("year", F.lit(0)) != 0) & (F.coalesce("c_year", F.lit(0)) != 0)
-    pairs = pairs.withColumn("gap", F.when(known, F.abs(F.col("c_year") - F.col("year"))).otherwise(9999)).withColumn("has", F.when(F.coalesce("c_publisher", F.lit("")) != "", 1).otherwise(0))
+    has = sum(F.when(F.coalesce(F.col(f"c_{x}").cast("string"), F.lit("")) != "", 1).otherwise(0) for x in also)
+    pairs = pairs.withColumn("gap", F.when(known, F.abs(F.col("c_year") - F.col("year"))).otherwise(9999)).withColumn("has", has)
     rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.col("overlap").desc(), "gap", F.col("has").desc(), "c_idx"))
     return pairs.withColumn("__n", rank).where("__n = 1").drop("__n", "__b", "has")
 
@@ -126,8 +176,52 @@ def upsert(old: DataFrame, new: DataFrame, key: str, fields: list[str], stamp: s
     return j.select(F.coalesce(F.col(key), F.col("__k")).alias(key), *[better(c) for c in fields], F.least("first_seen", "__at").alias("first_seen"), F.greatest("last_seen", "__at").alias("last_seen"))
 
 
+CITIES = (
+    "amsterdam atlanta baltimore berkeley berlin bingley boston bristol cambridge chicago dublin durham edinburgh indianapolis ithaca london los_angeles manchester "
+    "minneapolis montreal munich new_york oxford paris philadelphia portland princeton san_francisco seattle stanford sydney tokyo toronto vienna washington"
+).split()
+_BEFORE_COLON = "Berkeley Bingley Boston Bristol Cambridge Chicago Durham Ithaca London New_York Philadelphia"
+_LANDS = ("France", "Germany", "Ireland", "United Kingdom", "United States")
+
+
+def is_garbage_publisher(c: Column) -> Column:
+    """empty, city-only, or null for a publisher that is worth keeping."""
+    return F.when(F.coalesce(c, F.lit("")) == "", "empty").when(F.lower(strip(c)).isin(*[x.replace("_", " ") for x in CITIES]), "city-only")
+
+
 def clean_publisher(c: Column) -> Column:
-    """Without places, legal forms and doubled blanks; city names alone become null."""
-    out = F.regexp_replace(F.trim(F.element_at(F.split(c, "[;|]"), 1)), "(?i)^(?:new york|london|cambridge|oxford|paris|berlin)\\s*[:,]\\s*", "")
-    out = F.regexp_replace(F.regexp_replace(out, "(?i)[,\\s]+(?:inc|ltd|llc|co|gmbh|plc)\\.?$", ""), "\\s+", " ")
-    return F.when((out != "") & ~F.lower(out).isin("new york", "london", "cambridge", "oxford", "paris", "berlin"), out)
+    """The publisher in a noisy string: an imprint before its group, what follows a city and a colon, without a year at the begin.
+
+    Then the first of several between semicolons, the parts between commas before a year or a land, and of more than 80
+    characters what is before the first comma.
+    """
+    imprint = lambda s, p: F.when(s.rlike(p), strip(F.regexp_extract(s, p, 1))).otherwise(s)
+    s = imprint(strip(c), "(?i)^(.+?)\\s+is\\s+(?:an\\s+)?imprint\\b")
+    s = imprint(s, "(?i)^This\\s+(.+?)\\s+imprint\\s+is\\s+published\\s+by\\s+.+$")
+    s = imprint(s, f"^(?:{_BEFORE_COLON.replace(' ', '|').replace('_', ' ')})\\s*:\\s*(.+)$")
+    s = strip(F.element_at(F.split(F.regexp_replace(s, "^[0-9]{4}(?=[A-Z])", ""), ";"), 1))
+    parts = F.transform(F.split(s, ","), strip)
+    stop = F.array_position(F.transform(parts, lambda p: p.rlike(f"^([0-9]{{4}}$|({'|'.join(_LANDS)})\\b)")), True).cast("int")
+    some = F.when(stop > 0, F.slice(parts, F.lit(1), stop - 1)).otherwise(parts)
+    s = F.when((F.size(parts) > 1) & (F.size(some) > 0), strip(F.array_join(some, ", "))).otherwise(s)
+    return F.when(c == "", c).otherwise(F.when(F.length(s) > 80, strip(F.element_at(F.split(s, ","), 1))).otherwise(s))
+
+
+_PRESS = "Press|Publishing|Books|Verlag|Editions"
+_HOUSES = "Beacon|Bloomsbury|Imprint|Knopf|Norton|Palgrave|Penguin|Polity|Random|Routledge|Sage|Springer|University|Viking|Vintage|Wiley"
+
+
+def normal_publisher(c: Column) -> Column:
+    """The shortest part that sounds like a publisher; else what is before the first comma, without a year and what follows it."""
+    parts = F.transform(F.split(c, f"[,;]|(?<=[a-z]) (?=[A-Z][a-z]+ (?:{_PRESS}|University))"), strip)
+    like = F.filter(parts, lambda p: p.rlike(f"(?i)\\b({_PRESS}|{_HOUSES})\\b"))
+    first = F.element_at(F.transform(F.array_sort(F.transform(like, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i"), p.alias("p")))), lambda x: x["p"]), 1)
+    rest = strip(F.regexp_replace(strip(F.element_at(F.split(c, ","), 1)), "\\s*[0-9]{4}.*$", ""))
+    return F.when(F.coalesce(c, F.lit("")) == "", "").when(F.size(like) > 0, F.regexp_replace(first, "\\s+", " ")).otherwise(rest)
+
+
+def pick_publisher(names: Column) -> Column:
+    """Of several publishers the shortest with a word for one, else the shortest; '' for none."""
+    some = F.filter(F.transform(names, strip), lambda p: p != "")
+    rank = F.transform(some, lambda p, i: F.struct(F.when(p.rlike(f"(?i)\\b({_PRESS})\\b"), 0).otherwise(1).alias("r"), F.length(p).alias("n"), i.alias("i"), p.alias("p")))
+    return F.coalesce(F.get(F.array_sort(rank), F.lit(0))["p"], F.lit(""))

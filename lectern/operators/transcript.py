@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import han_letters, latin_letters
+from lectern.functions.text import han_letters, latin_letters, strip
 
 STOPS = ",.!?;:，。！？、；："
 #: What speech recognition makes of silence.
-NOISE = ("[BLANK_AUDIO]", "Thanks for watching", "请点赞", "请不吝点赞", "字幕由", "字幕志愿者", "中文字幕志愿者")
+NOISE = ("Thanks for watching", "[BLANK_AUDIO]", "字幕由", "字幕志愿者", "中文字幕志愿者", "请点赞", "请不吝点赞", "优优独播", "明镜需要您的支持", "MBC 뉴스")
 _TIME = "([0-9]+):([0-9]{2}):([0-9]{2})[,.]([0-9]{1,3})"
 
 
@@ -114,6 +114,31 @@ def transcript_states(segments: DataFrame, noise: tuple[str, ...] = NOISE) -> Da
     return a.withColumn("state", F.when(F.col("n") == 0, "empty").when(dead, "dead").otherwise("live")).drop("blank")
 
 
+_CUE = "^\\s*`?\\[(?:[0-9]{1,2}:)?[0-9]{1,2}:[0-9]{2}\\]`?\\s*(.*)$"
+
+
+def transcript_verdicts(docs: DataFrame, noise: tuple[str, ...] = NOISE) -> DataFrame:
+    """(doc, state, n, uniq, chars, noise, reason) of transcripts (doc, body) as Markdown with a time stamp before each cue.
+
+    By the first rule that holds: empty without a stamped line; dead of blank audio (3 cues at least, and 40 %), of 8 noise
+    phrases anywhere in the body, of at least 10 cues of which less than a quarter are distinct, of under 200 characters; else live.
+    """
+    lines = F.filter(F.split(F.coalesce("body", F.lit("")), "\\R"), lambda x: x.rlike(_CUE))
+    cues = docs.select("doc", F.coalesce("body", F.lit("")).alias("body"), F.transform(lines, lambda x: strip(F.regexp_extract(x, _CUE, 1))).alias("cues"))
+    n = F.size("cues")
+    hits = sum(((F.length("body") - F.length(F.replace("body", F.lit(p), F.lit("")))) / len(p)).cast("long") for p in noise)
+    a = cues.select(
+        "doc", n.cast("long").alias("n"), F.coalesce(F.try_divide(F.size(F.array_distinct("cues")), n), F.lit(0.0)).alias("uniq"),
+        F.aggregate("cues", F.lit(0), lambda s, x: s + F.length(x)).cast("long").alias("chars"), F.when(n > 0, hits).otherwise(0).alias("noise"), F.size(F.filter("cues", lambda x: x.contains("[BLANK_AUDIO]"))).alias("blank"),
+    )
+    reason = (
+        F.when(F.col("n") == 0, "no_cues").when(F.col("blank") >= F.greatest(F.lit(3.0), F.col("n") * 0.4), "blank_audio").when(F.col("noise") >= 8, "noise")
+        .when((F.col("n") >= 10) & (F.col("uniq") < 0.25), "repetition").when(F.col("chars") < 200, "too_short").otherwise("usable")
+    )
+    state = F.when(F.col("reason") == "no_cues", "empty").when(F.col("reason") == "usable", "live").otherwise("dead")
+    return a.withColumn("reason", reason).withColumn("state", state).drop("blank")
+
+
 LEAST_SOURCE = 200
 LEAST_RATIO = 0.22
 LEAST_PAGES = 3

@@ -7,23 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: type: (required fields, optional fields) of a collection's records; the schemas are closed.
-SCHEMAS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    "author": (("name", "type"), ("themes", "born", "died")),
-    "book": (("authors", "title", "type", "year"), ("category", "isbn", "language", "original_title", "publisher", "rating", "subtitle", "themes", "translators")),
-    "chapter": (("book", "chapter", "title", "type"), ("pages", "rating", "themes")),
-    "image": (("creator", "date", "title", "type"), ("source", "url")),
-    "journal": (("name", "type"), ("issn", "publisher")),
-    "note": (("created", "title", "type"), ("themes",)),
-    "paper": (("authors", "themes", "title", "type", "year"), ("doi", "issue", "pages", "publisher", "rating", "venue", "volume")),
-    "talk": (("date", "speaker", "title", "type"), ("channel", "themes", "url")),
-    "topic": (("kind", "title", "type"), ("created", "subquestions", "themes")),
-    "translation": (("source", "target_language", "type"), ("title",)),
-    "webpage": (("captured_at", "title", "type", "url"), ("published", "site", "themes")),
-}
-ALIASES = {"article": "paper", "monograph": "book", "lecture": "talk", "person": "author", "site": "webpage", "subject": "topic", "picture": "image"}
-
-
 @dataclass(frozen=True)
 class Rule:
     """A constraint: rows for which `holds` is false break it; null counts as holding unless required."""
@@ -59,29 +42,6 @@ def sized(field: str, low: int, high: int) -> Rule:
     return Rule("bad_length", field, F.length(F.trim(field)).between(low, high))
 
 
-def type_bucket(raw: Column, aliases: DataFrame | None = None) -> Column:
-    """canonical, deprecated, missing or unknown, from the registry above."""
-    return F.when(raw.isNull() | (raw == ""), "missing").when(raw.isin(*SCHEMAS), "canonical").when(raw.isin(*ALIASES), "deprecated").otherwise("unknown")
-
-
-def canonical_type(raw: Column) -> Column:
-    lookup = F.create_map(*[F.lit(x) for p in ALIASES.items() for x in p])
-    return F.when(raw.isin(*SCHEMAS), raw).otherwise(F.element_at(lookup, raw))
-
-
-def header_violations(files: DataFrame) -> DataFrame:
-    """(path, field, code) of files (path, type, fields map<string,string>): unknown_type, missing, unexpected."""
-    known = F.col("type").isin(*SCHEMAS)
-    need = F.create_map(*[x for t, (r, _) in SCHEMAS.items() for x in (F.lit(t), F.array(*[F.lit(f) for f in r]))])
-    all_ = F.create_map(*[x for t, (r, o) in SCHEMAS.items() for x in (F.lit(t), F.array(*[F.lit(f) for f in (*r, *o)]))])
-    have = F.map_keys(F.map_filter("fields", lambda k, v: v.isNotNull() & (v != "")))
-    tag = lambda names, code: F.transform(names, lambda n: F.struct(n.alias("field"), F.lit(code).alias("code")))
-    found = F.when(~F.coalesce(known, F.lit(False)), F.array(F.struct(F.lit("type").alias("field"), F.lit("unknown_type").alias("code")))).otherwise(
-        F.concat(tag(F.array_except(F.element_at(need, F.col("type")), have), "missing"), tag(F.array_except(F.map_keys("fields"), F.element_at(all_, F.col("type"))), "unexpected"))
-    )
-    return files.select("path", F.explode(found).alias("v")).select("path", "v.field", "v.code")
-
-
 def field_coverage(rows: DataFrame, key: str, group: str, fields: list[str], examples: int = 5) -> DataFrame:
     """(group, field, count, coverage, examples): rows of each group in which a field isn't empty, their share, and the first keys."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("f")
@@ -94,20 +54,64 @@ def field_coverage(rows: DataFrame, key: str, group: str, fields: list[str], exa
     return out.select(group, "field", "count", F.round(F.col("count") / F.col("__rows"), 4).alias("coverage"), "examples")
 
 
-def routed(found: DataFrame) -> DataFrame:
-    """Violations with severity, status and action by their code."""
-    code = F.col("code")
-    severity = F.when(code.isin("missing", "unknown_type"), "error").when(code == "out_of_range", "warning").otherwise("info")
-    status = F.when(code.isin("malformed", "bad_length"), "fixable").otherwise("manual")
-    action = F.when(code == "missing", "backfill").when(status == "fixable", "autofix").otherwise("review")
-    return found.withColumns({"severity": severity, "status": status, "action": action})
+#: Fields that a search can tell.
+SEARCHABLE = ("doi", "isbn", "journal", "publisher", "year")
+
+
+def _diagnostic(id_: Column, pass_: str, severity: Column | str, status: Column, action: Column, location: Column) -> list[Column]:
+    severity = F.lit(severity) if isinstance(severity, str) else severity
+    return [F.col("path"), id_.alias("id"), F.lit(pass_).alias("pass"), severity.alias("severity"), status.alias("status"), action.alias("action"), location.alias("location")]
+
+
+def header_diagnostics(found: DataFrame) -> DataFrame:
+    """(path, id, pass, severity, status, action, location) of header violations (path, field, code).
+
+    A field that is missing and can be searched for needs evidence, all else a person. Violations of the whole
+    header have no location.
+    """
+    whole = F.col("code").isin("no_frontmatter", "deprecated_type", "unknown_type")
+    field = F.when(~whole, F.regexp_extract("field", "^([^.]*)", 1))
+    searched = (F.col("code") == "missing") & F.coalesce(field.isin(*SEARCHABLE), F.lit(False))
+    status = F.when(searched, "needs_external_evidence").otherwise("human_review")
+    action = F.when(searched, "run_quasi_search").otherwise("human_review")
+    return found.select(_diagnostic(F.concat(F.lit("frontmatter."), F.coalesce(field, F.lit("document")), F.lit("."), "code"), "frontmatter_schema", "error", status, action, field))
+
+
+def body_diagnostics(found: DataFrame) -> DataFrame:
+    """(path, id, pass, severity, status, action, location) of body violations (path, fault, h2, expected, detected)."""
+    fault = F.col("fault")
+    reshape = (fault == "block_kind_mismatch") & F.col("h2").eqNullSafe(F.lit("关键概念")) & (F.col("expected") == "table") & F.col("detected").isin("definition-list", "paragraph")
+    level = fault.isin("heading_level_drift", "global_heading_level_drift", "h2_alias")
+    missing = fault == "missing_required_h2"
+    status = F.when(reshape | missing | level, "agent_fixable").otherwise("human_review")
+    action = F.when(reshape, "rewrite_section_shape_preserving_content").when(missing, "insert_required_stub").when(level, "normalize_heading_level").otherwise("human_review")
+    severity = F.when(reshape | missing, "error").otherwise("warning")
+    # an alias and a fault of the whole body have no section of their own
+    h2 = F.when(~fault.isin("h2_alias", "global_heading_level_drift"), F.col("h2"))
+    return found.select(_diagnostic(F.concat(F.lit("body."), F.coalesce(h2, F.lit("document")), F.lit("."), fault), "body_schema", severity, status, action, h2))
+
+
+def merged_diagnostics(*found: DataFrame) -> DataFrame:
+    """All diagnostics of several passes, with the number of the pass they came in as `nth`."""
+    out = [d.withColumn("nth", F.lit(i)) for i, d in enumerate(found)]
+    total = out[0]
+    for d in out[1:]:
+        total = total.unionByName(d, allowMissingColumns=True)
+    return total
+
+
+def summary(diagnostics: DataFrame, by: str | None = None) -> DataFrame:
+    """Counts of diagnostics, of all or by a column: all, files, by status, and dirty unless all were fixed."""
+    is_ = lambda v: F.count_if(F.col("status") == v)
+    counts = [F.count("*").alias("n"), F.countDistinct("path").alias("files"), *[is_(v).alias(v) for v in ("auto_fixed", "agent_fixable", "needs_external_evidence", "human_review")]]
+    out = (diagnostics.groupBy(by) if by else diagnostics.groupBy()).agg(*counts)
+    return out.withColumn("overall", F.when(F.col("n") == F.col("auto_fixed"), "clean").otherwise("dirty"))
 
 
-def summary(diagnostics: DataFrame, by: str) -> DataFrame:
-    """Counts of diagnostics by group: all, errors, fixable ones; overall is fail with any error, else warn."""
-    is_ = lambda c, v: F.sum((F.col(c) == v).cast("long"))
-    out = diagnostics.groupBy(by).agg(F.count("*").alias("n"), is_("severity", "error").alias("errors"), is_("status", "fixable").alias("fixable"))
-    return out.withColumn("overall", F.when(F.col("errors") > 0, "fail").otherwise("warn"))
+def disagreements(existing: DataFrame, built: DataFrame) -> DataFrame:
+    """(n): entries (k, v) that another map (k, v) has with another value; key 0 doesn't count, nor keys that the other lacks."""
+    b = built.select(F.col("k").alias("__k"), F.col("v").alias("__v"))
+    return existing.where("k <> 0").join(b, F.col("k") == F.col("__k")).where("v <> __v").agg(F.count("*").alias("n"))
 
 
 def top_k(rows: DataFrame, group: str, value: str, k: int) -> DataFrame:

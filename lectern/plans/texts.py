@@ -35,8 +35,9 @@ def author_surnames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def surname_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as names, by their digest."""
     docs = read_table(spark, d, "documents")
-    return docs.select("doc_id", text.surname_slug(F.substring(F.regexp_replace("text", "\\s+", " "), 1, 24)).alias("slug"))
+    return docs.select("doc_id", F.md5(text.surname_slug(F.col("text"))).alias("digest"))
 
 
 def url_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -73,25 +74,31 @@ def year_signals(spark: SparkSession, d: str) -> DataFrame:
 def abstract_from_positions(spark: SparkSession, d: str) -> DataFrame:
     """Documents' words by their positions, and back to the words in a row."""
     docs = read_table(spark, d, "documents")
-    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "\\s+"), lambda w: w != "")).alias("at", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+    index = docs.select("doc_id", text.positions(F.filter(F.split("text", "\\s+"), lambda w: w != "")).alias("index")).where(F.size("index") > 0)
     return index.select("doc_id", F.md5(text.inverted_index_text(F.col("index"))).alias("digest"))
 
 
 def redacted_text(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("token="), F.md5("url"), F.lit(" at https://me:pw@"), F.regexp_replace("url", "^[a-z]+://", ""), F.lit(" end"))
+    t = F.concat(F.lit("token="), F.md5("url"), F.lit(" at https://me:pw@"), F.regexp_replace("url", "^[a-z]+://", ""), F.lit(", then http://EX.org/a?b=1#c. Cookie: abc; end"))
     return read_table(spark, d, "pages").select("page_id", identifiers.redact(t).alias("text"))
 
 
 def clean_publishers(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    raw = F.when(k % 4 == 0, F.concat(F.lit("London: "), F.col("p_brand"), F.lit(", Ltd."))).when(k % 4 == 1, F.concat(F.col("p_brand"), F.lit("  Press;  other"))).when(k % 4 == 2, F.lit("New York")).otherwise(F.col("p_brand"))
-    return read_table(spark, d, "part").select("p_partkey", repair.clean_publisher(raw).alias("publisher"))
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    raw = (
+        F.when(k % 8 == 0, F.concat(brand, F.lit(" is an imprint of a Group"))).when(k % 8 == 1, F.concat(F.lit("Berkeley : "), brand)).when(k % 8 == 2, F.concat(F.lit("1999"), brand, F.lit("; Other")))
+        .when(k % 8 == 3, F.concat(F.lit("This "), brand, F.lit(" Imprint Is Published By Others"))).when(k % 8 == 4, F.concat(brand, F.lit(" ,  Sons, United Kingdom, 2018")))
+        .when(k % 8 == 5, F.concat(brand, F.lit(", "), F.repeat(F.lit("very long "), 9))).when(k % 8 == 6, "New York")
+    )
+    names = F.array(F.lit(" "), F.concat(brand, F.lit(" Group of Things")), F.concat(brand, F.lit(" University Press")), F.concat(brand, F.lit(" Books")))
+    return read_table(spark, d, "part").select(
+        "p_partkey", repair.clean_publisher(raw).alias("publisher"), repair.is_garbage_publisher(raw).alias("garbage"), repair.pick_publisher(names).alias("picked"), repair.normal_publisher(F.concat(F.lit("London ; X: "), F.concat_ws(", ", names))).alias("normal")
+    )
 
 
 def language_tags(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    raw = F.when(k % 4 == 0, "ZH_cn").when(k % 4 == 1, F.concat(F.upper("lang"), F.lit("-latn-us"))).otherwise(F.col("lang"))
+    raw = F.when(k % 4 == 0, "ZH-cn").when(k % 4 == 1, F.concat(F.upper("lang"), F.lit("-Latn-us"))).when(k % 4 == 2, F.concat("lang", F.lit("_x"))).otherwise(F.col("lang"))
     return read_table(spark, d, "documents").select("doc_id", identifiers.language_tag(raw).alias("tag"))
 
 
@@ -112,7 +119,7 @@ def _ratios(spark: SparkSession, d: str) -> DataFrame:
 def transcript_state(spark: SparkSession, d: str) -> DataFrame:
     c = read_table(spark, d, "conversations")
     k = F.col("conv_id")
-    t = F.when(k % 5 == 0, "[BLANK_AUDIO]").when(k % 5 == 1, "Thanks for watching Thanks for watching Thanks for watching").when(k % 5 == 2, F.substring("text", 1, 40)).otherwise(F.col("text"))
+    t = F.when(k % 5 == 0, "[BLANK_AUDIO]").when(k % 5 == 1, "Thanks for watching Thanks for watching Thanks for watching").when(k % 5 == 2, F.col("role")).otherwise(F.col("text"))
     return transcript.transcript_states(c.select(k.alias("doc"), t.alias("text"))).select("doc", "n", F.round("uniq", 6).alias("uniq"), "chars", F.col("noise").cast("long").alias("noise"), "state")
 
 
@@ -189,7 +196,7 @@ j AS (SELECT *, len(list_intersect(list_distinct(a), list_distinct(b))) AS n, le
 SELECT k AS p_partkey, normal, CASE WHEN e THEN normal[5:] || '|' || p_name ELSE p_name END AS keys, round(CASE WHEN n = least(na, nb) THEN 1.0 ELSE n / (na + nb - n) END, 6) AS jaccard,
   round((CASE WHEN e THEN 1 ELSE 0 END + CASE WHEN list_contains(string_split(p_name, ' '), t) THEN 1 ELSE 0 END) / 2, 6) AS overlap FROM j""",
     "author_surnames": "SELECT c_custkey, array_to_string(list_sort(['dijk' || c_custkey % 9, lower(c_mktsegment)]), '|') AS names FROM customer",
-    "surname_slugs": """SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(trim(regexp_replace(text, '\\s+', ' ', 'g')[1:24])), '[''’`]', '', 'g'), '\\s+', '-', 'g'), '[^a-zA-Z0-9-]', '', 'g')) AS slug FROM documents""",
+    "surname_slugs": """SELECT doc_id, md5(lower(regexp_replace(regexp_replace(regexp_replace(strip_accents(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '[''’`]', '', 'g'), '\\s+', '-', 'g'), '[^a-zA-Z0-9-]', '', 'g'))) AS digest FROM documents""",
     "url_canonical": f"""WITH r AS (SELECT page_id AS k, regexp_extract(url, '{_U}', 1) AS s, regexp_extract(url, '{_U}', 2) AS h, regexp_extract(url, '{_U}', 3) AS p, regexp_extract(url, '{_U}', 4) AS q FROM pages),
 u AS (SELECT k, CASE WHEN k % 5 IN (1, 2) THEN NULL ELSE CASE WHEN k % 5 = 0 THEN 'http' ELSE s END || '://' || lower(h) || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN q = '?' THEN '' ELSE q END END AS url FROM r)
 SELECT k AS page_id, url, 'page-' || k || '-' || sha256(url)[1:8] AS slug FROM u""",
@@ -200,12 +207,13 @@ SELECT k AS page_id, url, 'page-' || k || '-' || sha256(url)[1:8] AS slug FROM u
 SELECT k AS o_orderkey, CASE WHEN k % 4 = 0 THEN y END AS first_published, CASE WHEN k % 4 = 0 THEN 1990 WHEN k % 4 = 1 THEN y END AS copyright_year,
  CASE k % 4 WHEN 0 THEN CASE WHEN y = 1990 THEN '1990' ELSE y || ' 1990' END WHEN 1 THEN y || ' ' || (y + 1) WHEN 2 THEN y || ' ' || (y - 7) ELSE '' END AS years, CASE k % 4 WHEN 0 THEN y WHEN 1 THEN y + 1 WHEN 2 THEN y END AS best_guess FROM o""",
     "abstract_from_positions": "SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ')) AS digest FROM documents",
-    "redacted_text": "SELECT page_id, 'token=*** at https://' || regexp_extract(regexp_replace(url, '^[a-z]+://', ''), '^[^?#]*') || ' end' AS text FROM pages",
-    "clean_publishers": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ' Press' WHEN 3 THEN p_brand END AS publisher FROM part",
-    "language_tags": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'zh' WHEN 1 THEN lang || '-Latn-US' ELSE lang END AS tag FROM documents",
+    "redacted_text": "SELECT page_id, 'token=<redacted> at https://' || lower(regexp_extract(regexp_replace(url, '^[a-z]+://', ''), '^[^/?#]*')) || regexp_extract(regexp_replace(url, '^[a-z]+://', ''), '^[^/?#]*([^?#]*)', 1) || '?<redacted>, then http://ex.org/a?<redacted>. Cookie: <redacted>; end' AS text FROM pages",
+    "clean_publishers": """SELECT p_partkey, CASE p_partkey % 8 WHEN 4 THEN p_brand || ', Sons' WHEN 6 THEN 'New York' WHEN 7 THEN NULL ELSE p_brand END AS publisher,
+  CASE p_partkey % 8 WHEN 6 THEN 'city-only' WHEN 7 THEN 'empty' END AS garbage, p_brand || ' Books' AS picked, p_brand || ' Books' AS normal FROM part""",
+    "language_tags": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'zh' WHEN 1 THEN lang || '-latn-US' WHEN 3 THEN lang END AS tag FROM documents",
     "pair_ratio_median": f"WITH {_RATIOS}, a AS (SELECT doc, count(*) AS pages, median(ratio) AS median FROM r GROUP BY doc) SELECT *, CASE WHEN pages < 3 THEN 'abstain' WHEN median >= 0.22 THEN 'pass' ELSE 'fail' END AS verdict FROM a",
     "weakest_k": f"WITH {_RATIOS} SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY ratio, pair) AS INTEGER) AS rank FROM r) WHERE rank <= 2",
-    "transcript_state": """WITH t AS (SELECT conv_id AS doc, CASE conv_id % 5 WHEN 0 THEN '[BLANK_AUDIO]' WHEN 1 THEN 'Thanks for watching Thanks for watching Thanks for watching' WHEN 2 THEN text[1:40] ELSE text END AS t FROM conversations),
+    "transcript_state": """WITH t AS (SELECT conv_id AS doc, CASE conv_id % 5 WHEN 0 THEN '[BLANK_AUDIO]' WHEN 1 THEN 'Thanks for watching Thanks for watching Thanks for watching' WHEN 2 THEN role ELSE text END AS t FROM conversations),
 a AS (SELECT doc, count(*) AS n, count(DISTINCT t) / count(*) AS u, CAST(sum(length(t)) AS BIGINT) AS chars, CAST(sum(CASE doc % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 0 END) AS BIGINT) AS noise FROM t GROUP BY doc)
 SELECT doc, n, round(u, 6) AS uniq, chars, noise, CASE WHEN (doc % 5 = 0 AND n >= 3) OR noise >= 8 OR (n >= 10 AND u < 0.25) OR chars < 200 THEN 'dead' ELSE 'live' END AS state FROM a""",
     "segment_boundaries": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import re
 
@@ -10,8 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+try:  # the whole of YAML where its parser is there; block style by the small parser below where it isn't
+    import yaml
+except ImportError:
+    yaml = None
+
 _HEADER = re.compile(r"\A﻿?---[ \t]*\r?\n(.*?)(?:\r?\n)?^(?:---|\.\.\.)[ \t]*(?:\r?\n|\Z)", re.S | re.M)
-PARSED = T.StructType([T.StructField("header", T.MapType(T.StringType(), T.StringType())), T.StructField("body", T.StringType()), T.StructField("error", T.StringType())])
+PARSED = T.StructType([T.StructField("header", T.MapType(T.StringType(), T.StringType())), T.StructField("kinds", T.MapType(T.StringType(), T.StringType())), T.StructField("body", T.StringType()), T.StructField("error", T.StringType())])
 
 
 def _scalar(text: str):
@@ -55,28 +61,70 @@ def parse_header(block: str) -> dict:
 
 @F.pandas_udf(PARSED)
 def split_header(text: pd.Series) -> pd.DataFrame:
-    """struct(header, body, error): missing_header for none, malformed for one that is no mapping; values that aren't text as JSON."""
+    """struct(header, kinds, body, error): missing_header for none, malformed for one that is no mapping.
+
+    Values that aren't text are given as JSON, dates as ISO; `kinds` says what they were: str, int, float, bool, list, map, date, null.
+    """
     rows = []
     for t in text:
-        m = _HEADER.match(t or "")
-        if m is None:
-            rows.append((None, t, "missing_header"))
-            continue
-        body = t[m.end() :]
-        try:
-            fields = parse_header(m[1])
-        except ValueError:
-            rows.append((None, body, "malformed"))
-            continue
-        rows.append(({k: v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False) for k, v in fields.items()}, body, None))
-    return pd.DataFrame(rows, columns=["header", "body", "error"])
+        fields, body, error = parsed(t)
+        if fields is None:
+            rows.append((None, None, body, error))
+        else:
+            rows.append(({k: as_text(v) for k, v in fields.items()}, {k: kind_of_value(v) for k, v in fields.items()}, body, None))
+    return pd.DataFrame(rows, columns=["header", "kinds", "body", "error"])
+
+
+def parsed(text: str | None) -> tuple[dict | None, str | None, str | None]:
+    """(header, body, error) of a file's text; the header's values as YAML has them."""
+    m = _HEADER.match(text or "")
+    if m is None:
+        return None, text, "missing_header"
+    try:
+        fields = yaml.safe_load(m[1]) if yaml else parse_header(m[1])
+    except (ValueError, *([yaml.YAMLError] if yaml else [])):
+        fields = None
+    if not isinstance(fields, dict):
+        return None, text[m.end() :], "malformed"
+    return {str(k): v for k, v in fields.items()}, text[m.end() :], None
+
+
+def header_end(text: str) -> int:
+    """Where the body begins."""
+    m = _HEADER.match(text)
+    return m.end() if m else 0
+
+
+def as_text(v) -> str | None:
+    if v is None or isinstance(v, str):
+        return v
+    return v.isoformat() if isinstance(v, (datetime.date, datetime.datetime)) else json.dumps(v, ensure_ascii=False, default=str)
+
+
+def kind_of_value(v) -> str:
+    for kind, types in (("null", type(None)), ("str", str), ("bool", bool), ("int", int), ("float", float), ("list", list), ("map", dict)):
+        if isinstance(v, types):
+            return kind
+    return "date"
+
+
+_PLAIN = re.compile(r"[A-Za-z\u00c0-\uffff][^:#\[\]{}\"'&*!|>%@`\n]*\Z")
+_WORDS = {"true", "false", "yes", "no", "on", "off", "null"}
+
+
+def dumped(header: dict) -> str:
+    """A header in block style, its fields in the order given, long values on one line."""
+    if yaml:
+        return yaml.safe_dump(header, allow_unicode=True, sort_keys=False, default_flow_style=False, width=1 << 20).strip()
+    one = lambda v: v if isinstance(v, str) and _PLAIN.match(v) and v == v.strip() and v.lower() not in _WORDS else json.dumps(v, ensure_ascii=False, default=str)
+    return "\n".join("\n".join([f"{k}:", *[f"- {one(x)}" for x in v]]) if isinstance(v, list) and v else f"{k}: {one(v)}" for k, v in header.items())
 
 
 def read_markdown(spark: SparkSession, folder: str, names: str = "*.md") -> DataFrame:
     """(path, header, body, error) of all files below a folder but those in hidden folders."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).text(folder, wholetext=True)
     raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(~F.col("path").rlike("/\\.[^/]"))
-    return raw.withColumn("p", split_header(F.col("text"))).select("path", "p.header", "p.body", "p.error")
+    return raw.withColumn("p", split_header(F.col("text"))).select("path", "p.header", "p.kinds", "p.body", "p.error")
 
 
 def header_text(fields: Column) -> Column:
@@ -90,3 +138,33 @@ def header_text(fields: Column) -> Column:
 def write_markdown(files: DataFrame, folder: str) -> None:
     """Files (header, body, ...) as text, one row a file's text; Spark's commit protocol makes the folder appear whole."""
     files.select(F.concat(header_text(F.col("header")), F.coalesce("body", F.lit(""))).alias("value")).write.text(folder, lineSep="\x1e")
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """(path, bytes): the files (path below the folder, text), each a file of its own.
+
+    Executors write below `folder`, which they share: first to a name of their own, then renamed, so a file
+    appears whole, and one that a lost task wrote is written over. The result is to be read to run it; paths
+    that are null, absolute or hold .. are an error, a null text is an empty file.
+    """
+    from pyarrow import fs
+
+    def run(batches):
+        import uuid
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for pdf in batches:
+            sizes = []
+            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                if not path or path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"no path below the folder: {path!r}")
+                at, data = f"{root}/{path}", (text or "").encode()
+                store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                part = f"{at}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(data)
+                store.move(part, at)
+                sizes.append(len(data))
+            yield pdf[["path"]].assign(bytes=sizes)
+
+    return files.select("path", "text").mapInPandas(run, "path string, bytes long")

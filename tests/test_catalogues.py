@@ -21,7 +21,7 @@ def test_works_of_catalogues(spark):
 
 def test_editions_and_proof(spark):
     df = spark.createDataFrame([("9787100000000", "T", None), ("9780822373780", "中文", None), (None, "かな中", None), (None, "中文", None), (None, None, None)], "i string, t string, p string")
-    assert [r[0] for r in df.select(C.is_chinese_edition(F.col("i"), F.col("t"), F.col("p"))).collect()] == [True, False, False, True, False]
+    assert [r[0] for r in df.select(C.is_chinese_edition(F.col("i"), F.col("t"), F.col("p"))).collect()] == [True, True, False, True, False]
     df = spark.createDataFrame(
         [("On Sorting Things by Bowker", "Sorting Things", "Bowker", None), ("On Sorting Things", "Sorting Things", "Bowker", None), ("see 10.1/AB here", "X", "Y", "10.1/ab"), (None, "X", "Y", None), ("text", "", "", None)],
         "text string, title string, who string, d string",
