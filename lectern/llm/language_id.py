@@ -49,6 +49,7 @@ def bundles(texts: pa.LargeStringArray) -> np.ndarray:
     letters = np.flatnonzero(seen)
     rank = (np.cumsum(seen) - 1)[points]
     many = len(letters)
+    rank = rank.astype(np.int32 if many < 1290 else np.int64)  # three ranks fit
     gram = ((rank[:-2] * many + rank[1:-1]) * many + rank[2:])[inside]
     kinds, which = np.unique(gram, return_inverse=True)
     plain = letter_vectors(letters)
