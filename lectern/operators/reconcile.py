@@ -6,9 +6,10 @@ which those a kind lacks are left out. Input order is (src_ord, pos).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,31 +78,46 @@ def min_labels(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("rid").join(found, F.col("rid") == F.col("__node"), "left").select("rid", F.coalesce("root", "rid").alias("component"))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One component's records, in input order, each to the first cluster that holds a match of it; a source's second record there is dropped."""
-    pdf = pdf.sort_values(["src_ord", "pos"])
-    clusters: list[dict] = []
-    for rid, src, matches in zip(pdf["rid"], pdf["src"], pdf["matches"], strict=True):
-        matches = set(matches if matches is not None else ())
-        for c in clusters:
-            if matches & set(c.values()):
-                c.setdefault(src, rid)
-                break
-        else:
-            clusters.append({src: rid})
-    rows = [(rid, min(c.values())) for c in clusters for rid in c.values()]
-    return pd.DataFrame(rows, columns=["rid", "cluster"])
+def _first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (component, rid, src, matches) by component and input order to (rid, cluster).
+
+    A record goes to the first cluster that holds a match of it; a source's second record there is dropped. Clusters
+    are found through the records placed so far, so a record costs its matches, however many clusters there are.
+    """
+    here, placed, clusters = None, {}, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        rows = [(rid, min(c.values())) for c in clusters for rid in c.values()]
+        for i in range(0, len(rows), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + 50_000], strict=True)], ["rid", "cluster"])
+
+    for batch in batches:
+        for component, rid, src, matches in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if component != here:
+                yield from done()
+                here, placed, clusters = component, {}, []
+            at = min((placed[m] for m in matches or () if m in placed), default=None)
+            if at is None:
+                at = len(clusters)
+                clusters.append({})
+            if src not in clusters[at]:
+                clusters[at][src] = rid
+                placed[rid] = at
+    yield from done()
 
 
 def greedy_clusters(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """(rid, cluster): first-fit clusters by input order, one record a source; records dropped from a cluster are left out.
 
-    A cluster never reaches over a connected component, so the order-dependent pass runs in each by itself.
+    A cluster never reaches over a connected component, so the order-dependent pass streams over components that lie
+    sorted in their partition; records that match nothing are clusters of their own and need no pass.
     """
     pairs = keep(pairs, "pairs")
-    both = pairs.union(pairs.select("b", "a")).toDF("rid", "other").groupBy("rid").agg(F.collect_list("other").alias("matches"))
-    rows = records.select("rid", "src", "src_ord", "pos").join(both, "rid", "left").join(min_labels(records, pairs), "rid")
-    return rows.groupBy("component").applyInPandas(_greedy, "rid long, cluster long")
+    both = keep(pairs.union(pairs.select("b", "a")).toDF("rid", "other").groupBy("rid").agg(F.collect_list("other").alias("matches")), "matches")
+    ids = records.select("rid", "src", "src_ord", "pos")
+    alone = ids.join(both, "rid", "left_anti").select("rid", F.col("rid").alias("cluster"))
+    rows = ids.join(both, "rid").join(min_labels(both, pairs), "rid").repartition("component").sortWithinPartitions("component", "src_ord", "pos")
+    return rows.select("component", "rid", "src", "matches").mapInArrow(_first_fit, "rid long, cluster long").unionByName(alone)
 
 
 def by_priority(value: Column, src: Column, order: Column, sources: tuple[str, ...]) -> Column:

@@ -56,6 +56,24 @@ def test_greedy_clusters_keep_one_record_a_source(spark):
     assert found == {0: 0, 2: 0}
 
 
+def test_greedy_clusters_equal_slow_version(spark):
+    rng = random.Random(7)
+    rows = [{"src": rng.choice("abc"), "src_ord": 0, "isbn_13": rng.choice(["1", "2", "3", None]), "title": " ".join(rng.choice("u v w x y z".split()) for _ in range(3)), "year": rng.choice([1999, 2000, 2005])} for _ in range(70)]
+    r = records(spark, *rows)
+    pairs = [tuple(p) for p in reconcile.match_pairs(r, ("isbn_13",)).collect()]
+    matches = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(70)}
+    clusters = []
+    for i in range(70):
+        for c in clusters:
+            if matches[i] & set(c.values()):
+                c.setdefault(rows[i]["src"], i)
+                break
+        else:
+            clusters.append({rows[i]["src"]: i})
+    want = {i: min(c.values()) for c in clusters for i in c.values()}
+    assert {x["rid"]: x["cluster"] for x in reconcile.greedy_clusters(r, reconcile.match_pairs(r, ("isbn_13",))).collect()} == want
+
+
 def test_reconcile_empty(spark):
     merged, conflicts = reconcile.reconcile(spark.createDataFrame([], RECORD), reconcile.BOOK)
     assert merged.count() == 0 and conflicts.count() == 0
