@@ -8,7 +8,8 @@ casing. A null text behaves like an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,6 +22,21 @@ GOLDEN = U64(0x9E3779B97F4A7C15)
 _BASE = U64(0xD6E8FEB86659FD93)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` over a task's batches; what the task freed then goes back to the system, as a worker lives on between tasks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return task
+
+
 def _inverse(odd: int) -> int:
     return pow(odd, -1, 1 << 64)
 

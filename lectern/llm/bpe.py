@@ -42,7 +42,7 @@ WINDOW = 24
 BITS = 9
 LEAST = 128
 MOST = 4096
-CACHE_CHARS = 12_000_000
+CACHE_CHARS = 6_000_000
 
 _FIRST = re.compile(r"(?<=\S)(?=[ \n])")
 _LAST = re.compile(r".*\S(?=[ \n])", re.S)
@@ -207,7 +207,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
             yield from _batches(batch, make)
 
     extra = [ST.StructField("ids", ST.ArrayType(ST.IntegerType())), ST.StructField("n_tokens", ST.LongType()), ST.StructField("exact", ST.BooleanType())]
-    return docs.mapInArrow(run, ST.StructType([*_nullable(docs.schema), *extra]))
+    return docs.mapInArrow(T.lean(run), ST.StructType([*_nullable(docs.schema), *extra]))
 
 
 def _nullable(schema: ST.StructType) -> list[ST.StructField]:
@@ -235,7 +235,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
             text = pc.if_else(column.is_null(), pa.scalar(None, pa.string()), text)
             yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
 
-    return encoded.mapInArrow(run, ST.StructType([*_nullable(encoded.schema), ST.StructField("text", ST.StringType())]))
+    return encoded.mapInArrow(T.lean(run), ST.StructType([*_nullable(encoded.schema), ST.StructField("text", ST.StringType())]))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,7 +218,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, i
     out = None
     for ids, items in _portions(benchmark, item_bytes):
         shared = docs.sparkSession.sparkContext.broadcast((ids, items, rate))
-        part = texts.mapInArrow(_finder(shared), FOUND)
+        part = texts.mapInArrow(T.lean(_finder(shared)), FOUND)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -243,7 +243,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS
     """
     for ids, items in _portions(benchmark, item_bytes):
         shared = docs.sparkSession.sparkContext.broadcast((ids, items, rate))
-        docs = docs.mapInArrow(_dropper(shared, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(T.lean(_dropper(shared, docs.columns.index("text"))), docs.schema)
     return docs
 
 

@@ -92,7 +92,7 @@ def prototypes(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[
         return [], np.zeros((0, D))
     limit = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])
     sample = known.where(order <= F.element_at(limit, F.col("lang"))).select("lang", "text")
-    rows = sample.mapInArrow(_partial, "lang string, bundle binary").groupBy("lang").applyInArrow(_total, "lang string, bundle binary").collect()
+    rows = sample.mapInArrow(T.lean(_partial), "lang string, bundle binary").groupBy("lang").applyInArrow(_total, "lang string, bundle binary").collect()
     rows = sorted(rows, key=lambda r: r["lang"])
     return [r["lang"] for r in rows], _normal(np.stack([np.frombuffer(r["bundle"], np.int64) for r in rows]))
 
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, languages: list[str], profiles: np.ndarray) -> Dat
                     ["doc_id", "language", "cosine", "margin"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, IDENTIFIED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.lean(run), IDENTIFIED)
 
 
 def identify_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

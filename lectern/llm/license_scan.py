@@ -360,7 +360,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "licence", "kind", "sentences", "first_token", "last_token"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.lean(run), FOUND)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

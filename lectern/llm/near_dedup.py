@@ -297,13 +297,13 @@ def verify_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = with_ids(texts, pairs.select(F.explode(F.array("leader", "member"))).distinct())
     rows = texts.join(heads.union(rest).hint("merge"), "doc_id").select("leader", "doc_id", "text", "role", "salt")
     rows = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
-    return rows.mapInArrow(_verify, "leader long, member long, jaccard double")
+    return rows.mapInArrow(T.lean(_verify), "leader long, member long, jaccard double")
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (leader, member, jaccard) of representatives, and (doc_id, rep) of all exact copies but the representative."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    signed = keep(texts.mapInArrow(_sign, SIGNED), "signed")
+    signed = keep(texts.mapInArrow(T.lean(_sign), SIGNED), "signed")
     reps = keep(signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
     copies = signed.select("doc_id", "fp1", "fp2").join(reps.where("copies > 1").select("fp1", "fp2", "rep"), ["fp1", "fp2"]).where("doc_id <> rep").select("doc_id", "rep")
     rows = reps.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
@@ -313,7 +313,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block)).alias("block")
     met = rows.join(shared.hint("merge"), "key").select("key", part, "doc_id").join(sigs, "doc_id").select("key", "block", "doc_id", "sig")
     met = met.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id")
-    todo = keep(met.mapInArrow(_pair(threshold), "leader long, member long").where("leader <> member").distinct(), "candidates")
+    todo = keep(met.mapInArrow(T.lean(_pair(threshold)), "leader long, member long").where("leader <> member").distinct(), "candidates")
     pairs = keep(verify_pairs(texts, todo).where(F.col("jaccard") >= threshold), "pairs")
     roots = components(pairs.select(F.col("member").alias("node"), F.col("leader").alias("root"))).withColumnRenamed("node", "doc_id")
     rows = rows.join(roots.hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -321,7 +321,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
     apart = _dealt(rows.join(mixed.hint("merge"), "key"), block).join(sigs.hint("merge"), "doc_id").select("key", "cell", "side", "doc_id", "root", "sig")
     apart = apart.repartition("key", "cell").sortWithinPartitions("key", "cell", "side")
-    more = apart.mapInArrow(_across(threshold), "leader long, member long").distinct()
+    more = apart.mapInArrow(T.lean(_across(threshold)), "leader long, member long").distinct()
     more = keep(_by_partners(more.join(todo.hint("merge"), ["leader", "member"], "left_anti")), "more")
     return pairs.unionByName(verify_pairs(texts, more).where(F.col("jaccard") >= threshold)), copies
 

@@ -266,7 +266,7 @@ def _keys(min_tokens: int):
 
 def _hot_matches(places: DataFrame, min_tokens: int) -> DataFrame:
     """What `_match` finds, by keys in Spark's aggregation: partial minima, no bucket in one task."""
-    keys = keep(places.mapInArrow(_keys(min_tokens), "key long, doc_id long, begin long").distinct(), "keys")
+    keys = keep(places.mapInArrow(T.lean(_keys(min_tokens)), "key long, doc_id long, begin long").distinct(), "keys")
     # the first place of each document, then of all of them the first two documents
     by_doc = keep(keys.groupBy("key", "doc_id").agg(F.min("begin").alias("begin"), F.count("*").alias("n")), "firsts")
     first = by_doc.groupBy("key").agg(F.min(F.struct("doc_id", "begin")).alias("one"), F.count("*").alias("docs"), F.sum("n").alias("n")).where("n > 1")
@@ -348,7 +348,7 @@ def extended(texts: DataFrame, rows: DataFrame) -> DataFrame:
     rest = pairs.join(salts, "source_id").select("source_id", "doc_id", F.lit(1).alias("role"), F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "open")
     wanted = heads.unionByName(rest)
     rows = with_ids(texts, wanted.select("doc_id")).join(wanted.hint("merge"), "doc_id").select("source_id", "doc_id", "text", "role", "salt", "open")
-    return rows.repartition("source_id", "salt").sortWithinPartitions("source_id", "salt", "role").mapInArrow(_extend, MATCHES)
+    return rows.repartition("source_id", "salt").sortWithinPartitions("source_id", "salt", "role").mapInArrow(T.lean(_extend), MATCHES)
 
 
 def repeated_passages(docs: DataFrame, min_tokens: int = MIN_TOKENS, hot: int = HOT) -> DataFrame:
@@ -364,20 +364,20 @@ def repeated_passages(docs: DataFrame, min_tokens: int = MIN_TOKENS, hot: int =
     doc_id is taken to be unique; rows that repeat one in full count once. An empty table gives an empty one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    signed = keep(texts.mapInArrow(_anchors(min_tokens), "doc_id long, fp1 long, fp2 long, n long, anchors array<long>, places array<int>"), "anchors")
+    signed = keep(texts.mapInArrow(T.lean(_anchors(min_tokens)), "doc_id long, fp1 long, fp2 long, n long, anchors array<long>, places array<int>"), "anchors")
     reps = signed.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     copies = keep(signed.select("doc_id", "fp1", "fp2", "n").join(reps, ["fp1", "fp2"]).where("doc_id <> rep").select("doc_id", "rep", "n").distinct(), "copies")
     single = signed.join(copies.select("doc_id").hint("merge"), "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("doc_id", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("pos"))
     often = keep(single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "often")
     mine = keep(single.join(often.select("anchor").hint("merge"), "anchor").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("places")), "mine")
-    places = with_ids(texts, mine.select("doc_id")).join(mine.hint("merge"), "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts(min_tokens), PLACES)
+    places = with_ids(texts, mine.select("doc_id")).join(mine.hint("merge"), "doc_id").select("doc_id", "text", "places").mapInArrow(T.lean(_contexts(min_tokens)), PLACES)
     crowded = often.where(F.col("n") > hot).select("anchor")
     if crowded.isEmpty():
-        rows = places.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(_match(min_tokens), REPEATS)
+        rows = places.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(T.lean(_match(min_tokens)), REPEATS)
     else:
         places = keep(places, "places")
         few = places.join(crowded, "anchor", "left_anti")
-        rows = few.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(_match(min_tokens), REPEATS)
+        rows = few.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos").mapInArrow(T.lean(_match(min_tokens)), REPEATS)
         rows = rows.unionByName(_hot_matches(places.join(crowded, "anchor", "left_semi").select("anchor", "doc_id", "pos", "context"), min_tokens))
     found = keep(joined_stretches(rows), "stretches")
     plain = ["doc_id", "source_id", "diagonal", "begin", "end"]

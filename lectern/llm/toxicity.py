@@ -227,7 +227,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             score = np.concatenate(scores)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, from_pandas=True), pa.array(np.nan_to_num(score, nan=-1) >= threshold)], ["doc_id", "score", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(T.lean(run), SCORED)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

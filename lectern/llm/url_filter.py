@@ -141,7 +141,7 @@ def apply_policy(pages: DataFrame, entries: DataFrame, url: str = "url", trie_by
     if size <= trie_bytes:
         shared = spark.sparkContext.broadcast([tuple(r) for r in entries.collect()])
         schema = T.StructType([*pages.schema.fields, T.StructField("rule", T.StringType()), T.StructField("entry", T.StringType())])
-        out = pages.mapInArrow(_matcher(shared, pages.columns.index(url)), schema)
+        out = pages.mapInArrow(T.lean(_matcher(shared, pages.columns.index(url))), schema)
     else:
         found = _by_join(pages.select(F.col(f"`{url}`").alias("url")).distinct(), entries).withColumnRenamed("url", "_lectern_url")
         out = pages.join(found, pages[url] == found["_lectern_url"], "left").drop("_lectern_url")
