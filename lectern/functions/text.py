@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,17 +157,29 @@ def inverted_index_text(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(entries), lambda e: e["word"]), " ")
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
-def positions(words: pd.Series) -> pd.Series:
-    """map(word, positions) of a list of words, without any shuffle."""
-
-    def one(ws) -> dict:
-        out: dict[str, list[int]] = {}
-        for i, w in enumerate(ws if ws is not None else ()):
-            out.setdefault(w, []).append(i)
-        return out
-
-    return words.map(one)
+def word_positions(rows: DataFrame, key: str, words: str) -> DataFrame:
+    """(key, index map<string,array<int>>) of rows with a list of words: each word's places, without any shuffle. A null list has an empty index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1).fill_null([])
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            coded = flat.dictionary_encode()
+            many = max(1, len(coded.dictionary))
+            word = row * many + coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(word, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(word[order]) != 0])) if len(word) else np.empty(0, np.int64)
+            begin = np.searchsorted(row, np.arange(len(lists)))
+            places = (np.arange(len(row)) - begin[row])[order].astype(np.int32)
+            entries = pa.ListArray.from_arrays(pa.array(np.append(first, len(word)).astype(np.int32)), pa.array(places))
+            kinds = word[order][first]
+            of = np.searchsorted(kinds // many, np.arange(len(lists) + 1)).astype(np.int32)
+            index = pa.MapArray.from_arrays(pa.array(of), coded.dictionary.take(pa.array(kinds % many)), entries)
+            yield pa.RecordBatch.from_arrays([batch.column(0), index], [key, "index"])
+
+    out = T.StructType([rows.schema[key], T.StructField("index", T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))])
+    return rows.select(key, words).mapInArrow(run, out)
 
 
 YEAR = "\\b((?:19|20)[0-9]{2})\\b"

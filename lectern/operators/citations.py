@@ -23,15 +23,13 @@ NO_YEAR = 999
 def units(text: Column) -> Column:
     """array(struct(authors, year, suffix, block)) of a text's parentheses: the first author and year of each part between semicolons."""
     blocks = F.regexp_extract_all(text, F.lit(BLOCK), 1)
-    chunks = F.flatten(F.transform(blocks, lambda b, i: F.transform(F.split(b, "[;；]"), lambda c: F.struct(F.trim(c).alias("chunk"), i.alias("block")))))
+    # one match a chunk gives all parts, between marks that no text holds
+    parts = lambda c: F.split(F.regexp_replace(F.trim(c), f"{UNIT}[\\s\\S]*$", "$1\u0001$2\u0001$3\u0001"), "\u0001")
+    chunks = F.flatten(F.transform(blocks, lambda b, i: F.transform(F.filter(F.split(b, "[;；]"), lambda c: c.rlike(SHAPE)), lambda c: F.struct(parts(c).alias("p"), i.alias("block")))))
+    authors = lambda p: F.regexp_replace(F.regexp_replace(p, "^.*[（()）,，]", ""), "^[ ,，]+|[ ,，]+$", "")
     named = F.transform(
-        F.filter(chunks, lambda c: c["chunk"].rlike(SHAPE) & c["chunk"].rlike(UNIT)),
-        lambda c: F.struct(
-            F.regexp_replace(F.regexp_replace(F.regexp_extract(c["chunk"], UNIT, 1), "^.*[（()）,，]", ""), "^[ ,，]+|[ ,，]+$", "").alias("authors"),
-            F.regexp_extract(c["chunk"], UNIT, 2).cast("int").alias("year"),
-            F.regexp_extract(c["chunk"], UNIT, 3).alias("suffix"),
-            c["block"].alias("block"),
-        ),
+        F.filter(chunks, lambda c: F.size(c["p"]) > 3),
+        lambda c: F.struct(authors(c["p"][0]).alias("authors"), c["p"][1].cast("int").alias("year"), c["p"][2].alias("suffix"), c["block"].alias("block")),
     )
     return F.filter(named, lambda u: u["authors"].rlike(SHAPE))
 

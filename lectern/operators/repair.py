@@ -168,6 +168,16 @@ def fill_only(rows: DataFrame, found: DataFrame, key: str, fields: list[str]) ->
     return filled, j.where(F.col("__k").isNull() & need).select(rows[key])
 
 
+def backfill(rows: DataFrame, key: str, fields: list[str], strategies: list[tuple[str, DataFrame]]) -> DataFrame:
+    """The rows after all strategies (name, found rows) in their order, with filled_by map<field, strategy>; a filled field stays as it is."""
+    out = rows.withColumn("filled_by", F.create_map().cast("map<string,string>"))
+    for name, found in strategies:
+        out = fill_only(out, found, key, fields)[0]
+        new = F.map_from_entries(F.transform("filled", lambda c: F.struct(c, F.lit(name))))  # noqa: B023
+        out = out.withColumn("filled_by", F.map_concat("filled_by", new)).drop("filled")
+    return out
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, fields: list[str], stamp: str) -> DataFrame:
     """old with new: values not empty take over, first_seen stays, last_seen is the newest; `new` has its time in `stamp`."""
     n = new.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in fields], F.col(stamp).alias("__at"))

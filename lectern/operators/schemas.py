@@ -199,6 +199,12 @@ def schema_snapshot(spark) -> DataFrame:
     return spark.createDataFrame(rows, "type string, required array<string>, fields array<string>")
 
 
+def artifact_contracts(spark) -> DataFrame:
+    """(type, field_order, required, sections array<struct<h2,kind,required>>): what a record of each type with a body is made of."""
+    rows = [(t, ["type", *SCHEMAS[t]], ["type", *[n for n, f in SCHEMAS[t].items() if f.required]], [(s.h2, s.kind, s.required) for s in BODIES[t]]) for t in sorted(BODIES)]
+    return spark.createDataFrame(rows, "type string, field_order array<string>, required array<string>, sections array<struct<h2:string,kind:string,required:boolean>>")
+
+
 @dataclass(frozen=True)
 class Section:
     """A body's section: its heading, the shape of what is below it, and headings that stand for it."""

@@ -74,7 +74,8 @@ def year_signals(spark: SparkSession, d: str) -> DataFrame:
 def abstract_from_positions(spark: SparkSession, d: str) -> DataFrame:
     """Documents' words by their positions, and back to the words in a row."""
     docs = read_table(spark, d, "documents")
-    index = docs.select("doc_id", text.positions(F.filter(F.split("text", "\\s+"), lambda w: w != "")).alias("index")).where(F.size("index") > 0)
+    words = docs.select("doc_id", F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("words"))
+    index = text.word_positions(words, "doc_id", "words").where(F.size("index") > 0)
     return index.select("doc_id", F.md5(text.inverted_index_text(F.col("index"))).alias("digest"))
 
 

@@ -236,6 +236,13 @@ def test_years_and_text(spark):
     assert one(spark, html.html_text(F.col("h")), h="<title>T</title><script>var x='<p>'</script><p>a &amp;amp; b</p><!-- c --><br>d") == "T\na &amp; b\nd"
 
 
+def test_word_positions(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["b"]), (5, ["a", "", "a"])], "k int, w array<string>")
+    got = {r["k"]: r["index"] for r in text.word_positions(df, "k", "w").collect()}
+    assert got == {1: {"b": [0, 2], "a": [1]}, 2: {}, 3: {}, 4: {"b": [0]}, 5: {"a": [0, 2], "": [1]}}
+    assert text.word_positions(df.where("k > 9"), "k", "w").count() == 0
+
+
 def test_punctuation(spark):
     cases = [("变化,然后", "变化，然后"), ("1,000 项", "1,000 项"), ("Yahoo!目录", "Yahoo!目录"), ("变化?Baldwin", "变化？Baldwin"), ("见(注一)和(note)", "见（注一）和(note)"), ("`码,码` 后,x", "`码,码` 后，x"), (None, None)]
     got = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, t string").select("i", repair.full_width_punctuation("t").alias("p")).orderBy("i").collect()

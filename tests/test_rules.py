@@ -135,6 +135,37 @@ def test_files_are_written_and_read_again(spark, tmp_path):
     assert parsed("---\na: b: c\n---\n")[2] == "malformed" and dumped({"a": ["x"], "b": "c: d"}) == "a:\n- x\nb: 'c: d'"
 
 
+def test_sets_of_files_are_published_whole(spark, tmp_path):
+    from lectern.sources import publish as P
+
+    at = str(tmp_path)
+    table = lambda *rows: spark.createDataFrame(rows, "path string, text string")
+    assert P.current(at) is None and P.published(spark, at).count() == 0 and P.manifest(spark, at).count() == 0
+    one = P.publish(table(("a.txt", "x"), ("b c/é.txt", "y")), at, expected="")
+    assert (one["disposition"], one["files"], one["bytes"]) == ("created", 2, 2)
+    assert {tuple(r) for r in P.published(spark, at).collect()} == {("a.txt", "x"), ("b c/é.txt", "y")}
+    assert P.publish(table(("b c/é.txt", "y"), ("a.txt", "x")), at)["disposition"] == "unchanged"
+    for rows, code in (([("a", "x"), ("a", "y")], "duplicate_filename"), ([("../a", "x")], "unsafe_filename"), ([("a", "")], "unsafe_filename"), ([(None, "x")], "unsafe_filename"), ([], "chapter_set_mismatch")):
+        with pytest.raises(P.PublishError) as e:
+            P.publish(table(*rows), at)
+        assert e.value.code == code
+    with pytest.raises(P.PublishError):
+        P.publish(table(("a.txt", "z")), at, expected="0-0")
+    assert P.current(at)["version"] == one["version"] and len(list((tmp_path / "versions").iterdir())) == 1
+    two = P.publish(table(("a.txt", "z")), at, expected=one["fingerprint"])
+    assert two["disposition"] == "replaced" and [tuple(r) for r in P.published(spark, at).collect()] == [("a.txt", "z")]
+
+
+def test_backfill_by_strategies_in_order(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, "a", None), (3, None, 5)], "k int, s string, n int")
+    one = spark.createDataFrame([(1, "x", None), (2, "y", None)], "k int, s string, n int")
+    two = spark.createDataFrame([(1, "z", 7), (2, "z", 8), (3, "z", 9)], "k int, s string, n int")
+    got = {r["k"]: (r["s"], r["n"], r["filled_by"]) for r in repair.backfill(rows, "k", ["s", "n"], [("one", one), ("two", two)]).collect()}
+    assert got == {1: ("x", 7, {"s": "one", "n": "two"}), 2: ("a", 8, {"n": "two"}), 3: ("z", 5, {"s": "two"})}
+    contracts = {r["type"]: r for r in schemas.artifact_contracts(spark).collect()}
+    assert contracts["webpage"]["required"] == ["type", "title", "url", "captured_at"] and [tuple(s) for s in contracts["webpage"]["sections"]] == [("Summary", "paragraph", True), ("Content", "freeform", True)]
+
+
 def test_tocs_and_manifests(spark):
     files = spark.createDataFrame([("v/b/ch10-x.md", "chapter", "Ten"), ("v/b/ch2-y.md", "chapter", None), ("v/b/appendix.md", "chapter", "App"), ("v/b/00-overview.md", "book", "B")], "path string, type string, title string")
     (row,) = schemas.chapter_tocs(files).collect()
