@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm._tables import read_table
+from lectern.llm._text import lean
 
 #: Size of all entries' text up to which they are broadcast (a trie takes some 20 times that).
 TRIE_BYTES = 8 << 20
@@ -117,11 +118,12 @@ def _by_join(urls: DataFrame, entries: DataFrame) -> DataFrame:
     labels, segments = _split(F.concat(F.lit("x://"), F.col("entry")))
     rules = entries.where("rule in ('allow', 'block')").select(labels.alias("l"), segments.alias("s"), "rule").where("l is not null")
     join = lambda l, s: F.concat(F.array_join(l, "."), F.when(F.size(s) > 0, F.concat(F.lit("/"), F.array_join(s, "/"))).otherwise(""))  # noqa: E731, E741
+    most_l, most_s = rules.agg(F.max(F.size("l")), F.max(F.size("s"))).first()  # longer prefixes are no entry
     rules = rules.select(join(F.col("l"), F.col("s")).alias("entry"), "rule").groupBy("entry").agg(F.max("rule").alias("rule"))
     labels, segments = _split(F.col("url"))
     u = urls.select("url", labels.alias("l"), segments.alias("s")).where("l is not null")
-    u = u.select("url", "l", "s", F.explode(F.sequence(F.lit(1), F.size("l"))).alias("n_l"))
-    u = u.select("url", "l", "s", "n_l", F.explode(F.sequence(F.lit(0), F.size("s"))).alias("n_s"))
+    u = u.select("url", "l", "s", F.explode(F.sequence(F.lit(1), F.least(F.size("l"), F.lit(most_l or 1)))).alias("n_l"))
+    u = u.select("url", "l", "s", "n_l", F.explode(F.sequence(F.lit(0), F.least(F.size("s"), F.lit(most_s or 0)))).alias("n_s"))
     u = u.select("url", "n_l", "n_s", join(F.expr("slice(l, size(l) - n_l + 1, n_l)"), F.expr("slice(s, 1, n_s)")).alias("entry"))
     return u.join(rules, "entry").groupBy("url").agg(F.max_by(F.struct("rule", "entry"), F.struct("n_l", "n_s")).alias("m")).select("url", "m.rule", "m.entry")
 
@@ -141,7 +143,7 @@ def apply_policy(pages: DataFrame, entries: DataFrame, url: str = "url", trie_by
     if size <= trie_bytes:
         shared = spark.sparkContext.broadcast([tuple(r) for r in entries.collect()])
         schema = T.StructType([*pages.schema.fields, T.StructField("rule", T.StringType()), T.StructField("entry", T.StringType())])
-        out = pages.mapInArrow(T.lean(_matcher(shared, pages.columns.index(url))), schema)
+        out = pages.mapInArrow(lean(_matcher(shared, pages.columns.index(url))), schema)
     else:
         found = _by_join(pages.select(F.col(f"`{url}`").alias("url")).distinct(), entries).withColumnRenamed("url", "_lectern_url")
         out = pages.join(found, pages[url] == found["_lectern_url"], "left").drop("_lectern_url")

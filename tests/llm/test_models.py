@@ -50,6 +50,15 @@ def test_urls_equal_brute_force(spark, trie_bytes):
     assert url_filter.apply_policy(pages.where("false"), none, trie_bytes=trie_bytes).count() == 0
 
 
+@pytest.mark.parametrize("trie_bytes", [1 << 20, 0])
+def test_very_long_urls_and_ties(spark, trie_bytes):
+    long_ = "http://" + "a." * 60 + "x.com/" + "/".join(["s"] * 50_000)
+    pages = spark.createDataFrame([(1, long_), (2, long_ + "/t"), (3, "http://x.com/s/s"), (4, "http://x.com/s")], "page_id long, url string")
+    entries = spark.createDataFrame([("x.com/s/s", "allow"), ("x.com/s/s", "block"), ("x.com", "allow"), ("a.x.com", "block"), ("a.a.x.com/s/s/s", "allow"), ("a.a.x.com/s", "block")], "entry string, rule string")
+    got = {r["page_id"]: (r["rule"], r["entry"]) for r in url_filter.apply_policy(pages, entries, trie_bytes=trie_bytes).collect()}
+    assert got == {1: ("allow", "a.a.x.com/s/s/s"), 2: ("allow", "a.a.x.com/s/s/s"), 3: ("block", "x.com/s/s"), 4: ("allow", "x.com")}
+
+
 def test_url_oracle(agrees):
     assert agrees(url_filter.op1_url_filter, url_filter.ORACLE_SQL) > 0
 
