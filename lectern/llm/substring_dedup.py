@@ -222,6 +222,33 @@ def match_places(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, context:
     return np.stack([doc[i], doc[s], pos[i] - pos[s], pos[i] - reach[0], pos[i] + k + reach[1], reach[0] == c, reach[1] == c], axis=1)
 
 
+def touching(x: np.ndarray) -> np.ndarray:
+    """Rows of match_places with those of one pair and diagonal that touch as one, as joined_stretches does it over all tasks.
+
+    A periodic run has a place each period in one bucket, so most of its stretches end here and aren't shuffled.
+    """
+    if len(x) < 2:
+        return x
+    y = x.view(np.uint64)
+    pair = T.mix64(y[:, 0] * T.GOLDEN + T.mix64(y[:, 1] * _A + T.mix64(y[:, 2] * _B)))
+    x = x[np.lexsort((x[:, 5], x[:, 3], pair))]
+    other = np.ones(len(x), bool)
+    other[1:] = (x[1:, :3] != x[:-1, :3]).any(axis=1)
+    group = np.cumsum(other)
+    # the furthest end so far in the group: groups are set apart by more than any end
+    step = int(x[:, 4].max()) + 1
+    reached = np.maximum.accumulate(group * step + x[:, 4]) - group * step
+    new = other.copy()
+    new[1:] |= x[1:, 3] > reached[:-1]
+    head = np.flatnonzero(new)
+    out = x[head]
+    out[:, 4] = np.maximum.reduceat(x[:, 4], head)
+    # open at the end only if all that reach it are
+    last = x[:, 4] == out[np.cumsum(new) - 1, 4]
+    out[:, 6] = np.minimum.reduceat(np.where(last, x[:, 6], 1), head)
+    return out
+
+
 def _match(min_tokens: int):
     k = min_tokens // 2
     c = min_tokens - k
@@ -231,7 +258,7 @@ def _match(min_tokens: int):
 
         def done(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
             if parts:
-                x = match_places(*(np.concatenate(p) for p in zip(*parts, strict=True)), c, k)
+                x = touching(match_places(*(np.concatenate(p) for p in zip(*parts, strict=True)), c, k))
                 for a in range(0, len(x), 50_000):
                     part = x[a : a + 50_000]
                     columns = [pa.array(part[:, j].copy(), pa.int64() if j < 5 else pa.int32()) for j in range(7)]

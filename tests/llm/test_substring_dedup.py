@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from fixtures import empty, odd
@@ -108,3 +109,25 @@ def test_odd_rows(spark):
     rows = S.repeated_passages(odd(spark, clash=True)).collect()
     assert rows == []
     assert S.repeated_passages(empty(spark)).count() == 0
+
+
+def test_touching_stretches_join_as_one_by_one():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(rng.integers(0, 60))
+        begin = rng.integers(0, 40, n)
+        pair = [rng.integers(0, 2, n), rng.integers(0, 2, n), rng.integers(-1, 1, n)]
+        x = np.stack([*pair, begin, begin + rng.integers(1, 9, n), rng.integers(0, 2, n), rng.integers(0, 2, n)], axis=1)
+        out = []
+        for row in sorted(x.tolist(), key=lambda r: r[:5]):
+            if not out or out[-1][:3] != row[:3] or row[3] > out[-1][4]:
+                out.append(row)
+                continue
+            one = out[-1]
+            if row[3] == one[3]:
+                one[5] = min(one[5], row[5])
+            if row[4] == one[4]:
+                one[6] = min(one[6], row[6])
+            elif row[4] > one[4]:
+                one[4], one[6] = row[4], row[6]
+        assert sorted(S.touching(x).tolist()) == sorted(out)
