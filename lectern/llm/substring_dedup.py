@@ -203,8 +203,8 @@ def partners(which: np.ndarray, groups: int, doc: np.ndarray) -> tuple[np.ndarra
     return rows, partner[rows]
 
 
-def match_places(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, context: np.ndarray, c: int, k: int) -> np.ndarray:
-    """Rows (doc, source, diagonal, begin, end, low, high) of whole buckets, given by (anchor, doc, pos); low and high: whether the match may go on there."""
+def match_places(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, context: np.ndarray, c: int, k: int, most: int = 50_000) -> Iterator[np.ndarray]:
+    """Rows (doc, source, diagonal, begin, end, low, high) of whole buckets, given by (anchor, doc, pos), of `most` pairs at a time; low and high: whether the match may go on there."""
     new = np.ones(len(anchor), bool)  # a row that repeats a doc_id has its places again
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
     anchor, doc, pos, context = anchor[new], doc[new], pos[new], context[new]
@@ -217,9 +217,10 @@ def match_places(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, context:
         mine, partner = partners(number[which[met]], int((n > 1).sum()), doc[rows])
         found.append(rows[mine] * len(anchor) + rows[partner])
     pairs = np.unique(np.concatenate(found))
-    i, s = pairs // len(anchor), pairs % len(anchor)
-    reach = [((context[i, a : a + c] == context[s, a : a + c]) & (context[i, a : a + c] != 0)).cumprod(axis=1).sum(axis=1) for a in (0, c)]
-    return np.stack([doc[i], doc[s], pos[i] - pos[s], pos[i] - reach[0], pos[i] + k + reach[1], reach[0] == c, reach[1] == c], axis=1)
+    for at in range(0, len(pairs), most):
+        i, s = pairs[at : at + most] // len(anchor), pairs[at : at + most] % len(anchor)
+        reach = [((context[i, a : a + c] == context[s, a : a + c]) & (context[i, a : a + c] != 0)).cumprod(axis=1).sum(axis=1) for a in (0, c)]
+        yield np.stack([doc[i], doc[s], pos[i] - pos[s], pos[i] - reach[0], pos[i] + k + reach[1], reach[0] == c, reach[1] == c], axis=1)
 
 
 def touching(x: np.ndarray) -> np.ndarray:
@@ -258,9 +259,7 @@ def _match(min_tokens: int):
 
         def done(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
             if parts:
-                x = touching(match_places(*(np.concatenate(p) for p in zip(*parts, strict=True)), c, k))
-                for a in range(0, len(x), 50_000):
-                    part = x[a : a + 50_000]
+                for part in map(touching, match_places(*(np.concatenate(p) for p in zip(*parts, strict=True)), c, k)):
                     columns = [pa.array(part[:, j].copy(), pa.int64() if j < 5 else pa.int32()) for j in range(7)]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source_id", "diagonal", "begin", "end", "low", "high"])
 
