@@ -69,7 +69,8 @@ def assign_slots(entries: DataFrame, book: str = "book", pos: str = "pos") -> Da
 
 def slot_order(slot: Column) -> Column:
     """Numeric order of slots, unknown ones last."""
-    return F.coalesce(F.try_to_number(F.regexp_extract(slot, "^([0-9]+)", 1), F.lit("999999")).cast("int"), F.lit(1 << 30))
+    digits = F.regexp_extract(slot, "^([0-9]+)", 1)
+    return F.coalesce(F.when(F.length(digits).between(1, 6), digits.try_cast("int")), F.lit(1 << 30))
 
 
 def page_ends(toc: DataFrame, last: str = "n_pages") -> DataFrame:
@@ -190,19 +191,19 @@ def weighted_median(rows: DataFrame, key: str, value: str, weight: str) -> DataF
     return by.select(key, value, run.alias("run"), total.alias("total")).where("run >= total / 2").groupBy(key).agg(F.min(value).alias("median"))
 
 
-def _toc_levels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A table of contents' levels from 1 on, none more than one below the one before it."""
-    pdf = pdf.sort_values("pos")
-    base, before, out = int(pdf["level"].min()) if len(pdf) else 1, 0, []
-    for level in pdf["level"]:
-        before = min(int(level) - base + 1, before + 1)
-        out.append(before)
-    return pdf.assign(level=out)
-
-
 def toc_levels(toc: DataFrame) -> DataFrame:
-    """(book, pos, level, ...) with adjusted levels; each depends on the one before, so books go one by one."""
-    return toc.groupBy("book").applyInPandas(_toc_levels, toc.schema)
+    """(book, pos, level, ...) with a table of contents' levels from 1 on, none more than one below the one before it.
+
+    So the n-th level is the least of n and, over the entries up to it, of an entry's own level plus the places since: n
+    plus a running minimum, in one window.
+    """
+    order = Window.partitionBy("book").orderBy(F.col("pos").asc_nulls_last())
+    n = F.row_number().over(order)
+    base = F.min("level").over(Window.partitionBy("book"))
+    rows = toc.withColumns({"__n": n, "__base": base})
+    least = F.min(F.col("level") - F.col("__base") + 1 - F.col("__n")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    adjusted = (F.col("__n") + F.least(F.lit(0), least)).cast(toc.schema["level"].dataType)
+    return rows.withColumn("level", adjusted).select(*toc.columns)
 
 
 def split_page(page: Column, n_out: Column, translated: bool = False) -> Column:
