@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,13 @@ def stamp(second: Column, srt: bool = False) -> Column:
     """Seconds as hh:mm:ss,mmm, or as mm:ss, with hours where there are any."""
     s = F.floor(second).cast("long")
     h, m, r = F.floor(s / 3600), F.pmod(F.floor(s / 60), F.lit(60)), F.pmod(s, F.lit(60))
+    text = lambda c: c.cast("string")
+    two = lambda c: F.when(c.between(0, 9), F.concat(F.lit("0"), text(c))).otherwise(text(c))
     if srt:
         ms = F.pmod(F.round(second * 1000).cast("long"), F.lit(1000))
-        return F.format_string("%02d:%02d:%02d,%03d", h, m, r, ms)
-    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%02d:%02d", m, r))
+        return F.concat(two(h), F.lit(":"), two(m), F.lit(":"), two(r), F.lit(","), F.lpad(text(ms), 3, "0"))
+    minutes = F.concat(two(m), F.lit(":"), two(r))
+    return F.when(h > 0, F.concat(text(h), F.lit(":"), minutes)).otherwise(minutes)
 
 
 def to_srt(cues: DataFrame) -> DataFrame:
@@ -46,29 +51,45 @@ def to_srt(cues: DataFrame) -> DataFrame:
     return cues.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]), "\n\n").alias("text"))
 
 
+def in_order(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """The rows with `__nth`, from 1 on within their key: a key's rows lie in a row, by `pos`, so that one pass over a partition reads all its keys."""
+    return rows.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(F.col(pos).asc_nulls_last())))
+
+
 def _cues(gap_ms: int, max_ms: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows, words, start, last, before = [], [], None, None, ""
-        talk = pdf["talk"].iloc[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, words, start, last, before, talk, n = [], [], None, None, "", None, 0
 
         def close():
-            rows.append((talk, len(rows), start / 1000, last / 1000, "".join(words).strip()))
-
-        for text, a, b in zip(pdf["text"], pdf["start_ms"], pdf["end_ms"], strict=True):
-            if text == "<end>" or pd.isna(a) or pd.isna(b):
-                continue
-            opens = not words or text[:1].isspace() or before[-1:] in STOPS and before != ""
-            if words and opens and (a - last > gap_ms or b - start > max_ms):
-                close()
-                words = []
-            if not words:
-                start = a
-            words.append(text)
-            last, before = b, text
+            nonlocal n
+            rows.append((talk, n, start / 1000, last / 1000, "".join(words).strip()))
+            n += 1
+
+        def told():
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()), strict=True)], ["talk", "idx", "start", "end", "text"])
+
+        for batch in batches:
+            for nth, of, text, a, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if nth == 1:
+                    if words:
+                        close()
+                    talk, words, before, n = of, [], "", 0
+                if text == "<end>" or a is None or b is None:
+                    continue
+                opens = not words or text[:1].isspace() or before[-1:] in STOPS and before != ""
+                if words and opens and (a - last > gap_ms or b - start > max_ms):
+                    close()
+                    words = []
+                if not words:
+                    start = a
+                words.append(text)
+                last, before = b, text
+            yield told()
+            rows = []
         if words:
             close()
-        return pd.DataFrame(rows, columns=["talk", "idx", "start", "end", "text"])
+            yield told()
 
     return run
 
@@ -77,28 +98,36 @@ def group_cues(tokens: DataFrame, gap_ms: int = 700, max_ms: int = 8000) -> Data
     """Tokens (talk, pos, text, start_ms, end_ms) as cues (talk, idx, start, end, text).
 
     A cue ends after a pause of more than `gap_ms` or before it gets longer than `max_ms`, but just where a
-    word begins. As the length counts from the cue's own begin, each talk is one pass.
+    word begins. As the length counts from the cue's own begin, it takes a pass; one reads all talks of a partition.
     """
-    return tokens.groupBy("talk").applyInPandas(_cues(gap_ms, max_ms), "talk long, idx long, start double, end double, text string")
+    rows = in_order(tokens, "talk", "pos").select("__nth", F.col("talk").cast("long"), "text", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"))
+    return rows.mapInArrow(_cues(gap_ms, max_ms), "talk long, idx long, start double, end double, text string")
 
 
 def _paragraphs(seconds_: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        number, start, out = 0, None, []
-        for a, b in zip(pdf["start"], pdf["end"], strict=True):
-            start = a if start is None else start
-            out.append(number)
-            if b - start >= seconds_:
-                number, start = number + 1, None
-        return pdf.assign(paragraph=out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, begin = 0, None
+        for batch in batches:
+            nth, *times = (batch.column(i).to_numpy(zero_copy_only=False).tolist() for i in range(batch.num_columns - 3, batch.num_columns))
+            out = []
+            for first, a, b in zip(nth, *times, strict=True):
+                if first == 1:
+                    number, begin = 0, None
+                if begin is None:
+                    begin = a
+                out.append(number)
+                if b - begin >= seconds_:
+                    number, begin = number + 1, None
+            kept = batch.num_columns - 3
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(out, pa.int64())], [*batch.schema.names[:kept], "paragraph"])
 
     return run
 
 
 def paragraphs(cues: DataFrame, seconds_: float = 45) -> DataFrame:
-    """Cues with their paragraph's number; a paragraph ends with the cue that reaches `seconds_` from its begin."""
-    return cues.groupBy("talk").applyInPandas(_paragraphs(seconds_), cues.withColumn("paragraph", F.lit(0).cast("long")).schema)
+    """Cues with their paragraph's number; a paragraph ends with the cue that reaches `seconds_` from its begin. One pass reads all talks of a partition."""
+    rows = in_order(cues, "talk", "idx").select(*cues.columns, "__nth", F.col("start").cast("double").alias("__start"), F.col("end").cast("double").alias("__end"))
+    return rows.mapInArrow(_paragraphs(seconds_), cues.withColumn("paragraph", F.lit(0).cast("long")).schema)
 
 
 def transcript_states(segments: DataFrame, noise: tuple[str, ...] = NOISE) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from lectern.operators import segment
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.operators import segment, transcript
 
 
 def plan_of(df) -> str:
@@ -24,3 +27,30 @@ def test_contents_levels_need_no_call_a_book(spark):
     out = segment.toc_levels(spark.createDataFrame(random.Random(2).sample(rows, len(rows)), "book int, pos int, level int"))
     assert "Python" not in plan_of(out) and "InPandas" not in plan_of(out)
     assert {(r["book"], r["pos"]): r["level"] for r in out.collect()} == want
+
+
+def test_paragraphs_and_cues_need_no_call_a_talk(spark):
+    rng = random.Random(3)
+    cues, want = [], {}
+    for talk in range(60):
+        at, number, begin = 0.0, 0, None
+        for idx in range(rng.randint(1, 40)):
+            end = at + rng.randint(1, 20)
+            cues.append((talk, idx, at, end, "x"))
+            begin = at if begin is None else begin
+            want[talk, idx] = number
+            if end - begin >= 45:
+                number, begin = number + 1, None
+            at = end + rng.randint(0, 3)
+    out = transcript.paragraphs(spark.createDataFrame(rng.sample(cues, len(cues)), "talk long, idx long, start double, end double, text string"))
+    assert "InPandas" not in plan_of(out)
+    assert {(r["talk"], r["idx"]): r["paragraph"] for r in out.collect()} == want
+    tokens = [(t, p, " a", 1000 * p, 1000 * p + 10) for t in range(50) for p in range(t % 4)]
+    grouped = transcript.group_cues(spark.createDataFrame(tokens, "talk long, pos int, text string, start_ms long, end_ms long"))
+    assert "InPandas" not in plan_of(grouped)
+    assert sorted((r["talk"], r["idx"], r["start"]) for r in grouped.collect()) == [(t, p, float(p)) for t in range(50) for p in range(t % 4)]
+
+
+@pytest.mark.parametrize("second, shown, srt", [(0.0, "00:00", "00:00:00,000"), (75.5, "01:15", "00:01:15,500"), (3605.007, "1:00:05", "01:00:05,007"), (400_000.0, "111:06:40", "111:06:40,000")])
+def test_stamps(spark, second, shown, srt):
+    assert tuple(spark.range(1).select(transcript.stamp(F.lit(second)), transcript.stamp(F.lit(second), True)).first()) == (shown, srt)
