@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import repair, segment, transcript
+from lectern.operators import citations, repair, segment, transcript
 
 
 def plan_of(df) -> str:
@@ -86,3 +86,22 @@ def _metrics(df, name, of):
         kids = p.children()
         stack += [kids.apply(i) for i in range(kids.size())]
     return out
+
+
+def test_tiers_by_class_lose_no_pair(spark):
+    authors = ("ahmed", "ahmedq", "latour", "nobody", "latour-")
+    asked = spark.createDataFrame([(f"c{i}", authors[i % 5], 1990 + i % 3, False) for i in range(90)], "key string, author string, year int, is_cjk boolean")
+    biblio = spark.createDataFrame([(f"{('ahmed', 'latour')[i % 2]}-work{i}-{1990 + i % 4}", "") for i in range(40)], "slug string, author_slug string")
+    index = citations.author_index(biblio)
+    plain = sorted(tuple(r) for r in citations.tiers(asked, index).collect())
+    by_class = citations.tiers_by_class(asked, index).collect()
+    pairs = {}
+    for r in by_class:
+        if r["key"] == r["same_as"]:
+            pairs.setdefault(r["key"], []).append((r["tier"], r["slug"], r["edits"], r["year_offset"]))
+    told = {r["key"]: r["same_as"] for r in by_class}
+    assert sorted((k, *p) for k, head in told.items() for p in pairs[head]) == plain
+    assert all(r["n"] == len([p for p in pairs[r["same_as"]] if p[1] is not None]) for r in by_class)
+    assert len(by_class) < len(plain) / 2
+    states = {r["key"]: (r["tier"], r["status"], r["n"]) for r in citations.statuses(citations.tiers(asked, index)).collect()}
+    assert {r["key"]: (r["tier"], r["status"], r["n"]) for r in citations.statuses_by_class(asked, index).collect()} == states
