@@ -72,11 +72,12 @@ def year_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def abstract_from_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Documents' words by their positions, and back to the words in a row."""
+    """Documents' words by their positions, and back to the words in a row; words are parted by the white space that RE2 knows."""
     docs = read_table(spark, d, "documents")
-    words = docs.select("doc_id", F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("words"))
-    index = text.word_positions(words, "doc_id", "words").where(F.size("index") > 0)
-    return index.select("doc_id", F.md5(text.inverted_index_text(F.col("index"))).alias("digest"))
+    words = docs.select("doc_id", F.filter(F.split("text", "[\\t\\n\\f\\r ]+"), lambda w: w != "").alias("words"))
+    index = text.word_positions(words.where("words is not null"), "doc_id", "words")
+    told = index.select("doc_id", F.md5(text.inverted_index_text(F.col("index"))).alias("digest"))
+    return told.unionByName(docs.where("text is null").select("doc_id", F.lit(None).cast("string").alias("digest")))
 
 
 def redacted_text(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import citations, repair, segment, transcript
+from lectern.plans import texts
 
 
 def plan_of(df) -> str:
@@ -105,3 +106,12 @@ def test_tiers_by_class_lose_no_pair(spark):
     assert len(by_class) < len(plain) / 2
     states = {r["key"]: (r["tier"], r["status"], r["n"]) for r in citations.statuses(citations.tiers(asked, index)).collect()}
     assert {r["key"]: (r["tier"], r["status"], r["n"]) for r in citations.statuses_by_class(asked, index).collect()} == states
+
+
+def test_abstracts_of_texts_without_words(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a b  a"), (2, ""), (3, " \n\t"), (4, None), (5, "a\x0bb\u00a0c d"), (6, "\u3000x\x85y\x1cz")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.connect().sql(texts.ORACLE_SQL["abstract_from_positions"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in texts.abstract_from_positions(spark, str(tmp_path)).collect()) == sorted(want)
