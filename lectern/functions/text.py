@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -78,10 +78,22 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / least)
 
 
-@F.pandas_udf(T.StringType())
-def without_accents(text: pd.Series) -> pd.Series:
-    """Decomposed, without combining marks; Spark has no function for it."""
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
+def _combining() -> str:
+    """A pattern for the characters with a combining class."""
+    marks = [i for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))]
+    begins = [i for n, i in enumerate(marks) if not n or marks[n - 1] != i - 1]
+    ends = [i for n, i in enumerate(marks) if n + 1 == len(marks) or marks[n + 1] != i + 1]
+    # most characters are told by their category, so that they needn't be held against all ranges
+    return "[[\\p{M}\\p{Cn}]&&[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(begins, ends, strict=True)) + "]]"
+
+
+COMBINING = _combining()
+
+
+def without_accents(text: Column) -> Column:
+    """Decomposed (NFKD), without combining marks, by the ICU library that Spark brings; plain ASCII stays as it is."""
+    whole = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.regexp_replace(whole, COMBINING, "")).otherwise(text)
 
 
 def surname_slug(name: Column) -> Column:

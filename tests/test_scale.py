@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text
 from lectern.operators import citations, repair, segment, transcript
 from lectern.plans import texts
 
@@ -120,3 +121,13 @@ def test_abstracts_of_texts_without_words(spark, tmp_path):
 def test_publishers_are_worked_out_step_by_step(spark):
     size = len(repair.clean_publisher(F.col("p"))._jc.toString())
     assert size < 20_000
+
+
+def test_accents_need_no_python(spark):
+    import unicodedata
+
+    words = [None, "", "plain", "José O’Néil", "ﬁn Ⅳ ½ Å ǅ", "a \u0301 b", "각 한", "ą̧\u0345x", "क़ि", "\U0001d400\U0001f600é", "Łódź ß"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", text.without_accents(F.col("w")).alias("w"))
+    assert "Python" not in plan_of(df)
+    want = [None if w is None else "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)) for w in words]
+    assert [r["w"] for r in df.orderBy("i").collect()] == want
