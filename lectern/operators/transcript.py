@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import han_letters, latin_letters, strip
+from lectern.sources.tables import spread
 
 STOPS = ",.!?;:，。！？、；："
 #: What speech recognition makes of silence.
@@ -202,7 +203,7 @@ def primary_engine(runs: DataFrame, preference: tuple[str, ...] = tuple("soniox
 def agreed_entries(maps: DataFrame) -> DataFrame:
     """(k, v): entries of maps (map_id, k, v) that all maps hold with the same value."""
     n = maps.agg(F.countDistinct("map_id").alias("n_maps"))
-    by = maps.groupBy("k").agg(F.min("v").alias("v"), F.countDistinct("v").alias("values"), F.countDistinct("map_id").alias("in_maps"))
-    return by.crossJoin(F.broadcast(n)).where("values = 1 and in_maps = n_maps").select("k", "v")  # one row
-
-
+    # by map first, so nothing is counted distinct by key, and least and largest values tell whether all are one
+    each = spread(maps, maps.count(), "k").groupBy("k", "map_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    by = each.groupBy("k").agg(F.min("lo").alias("v"), F.max("hi").alias("hi"), F.count("map_id").alias("in_maps"))
+    return by.crossJoin(F.broadcast(n)).where("v = hi and in_maps = n_maps").select("k", "v")  # one row

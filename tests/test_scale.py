@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import citations, repair, segment, transcript
+from lectern.operators import citations, repair, segment, transcript, validate
 from lectern.plans import texts
 
 
@@ -131,3 +131,14 @@ def test_accents_need_no_python(spark):
     assert "Python" not in plan_of(df)
     want = [None if w is None else "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)) for w in words]
     assert [r["w"] for r in df.orderBy("i").collect()] == want
+
+
+def test_inventories_and_agreed_entries_count_nothing_distinct_by_key(spark):
+    ch = spark.createDataFrame([("a", 1, 1, 1), ("a", 2, 2, 1), ("b", 1, 1, 1), ("b", 2, 2, 2), ("c", None, 1, 1), ("d", 1, 3, 3)], "book string, slot int, filename int, slug int").select("*", F.lit(1).alias("start"), F.lit(2).alias("end"))
+    out = validate.chapter_inventory(ch)
+    assert "Expand" not in plan_of(out)
+    assert {(r["book"], r["chapters"], r["valid"]) for r in out.collect()} == {("a", 2, False), ("b", 2, True), ("c", 1, False), ("d", 1, True)}
+    maps = spark.createDataFrame([(0, 1, 5), (1, 1, 5), (0, 2, 5), (1, 2, 6), (0, 3, 5), (0, 4, 7), (0, 4, 7), (1, 4, None), (0, 5, 1), (0, 5, 2), (1, 5, 1), (0, 6, None), (1, 6, None)], "map_id int, k int, v int")
+    agreed = transcript.agreed_entries(maps)
+    assert plan_of(agreed).count("Expand") == 0
+    assert sorted(tuple(r) for r in agreed.collect()) == [(1, 5), (4, 7)]
