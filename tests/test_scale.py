@@ -142,3 +142,24 @@ def test_inventories_and_agreed_entries_count_nothing_distinct_by_key(spark):
     agreed = transcript.agreed_entries(maps)
     assert plan_of(agreed).count("Expand") == 0
     assert sorted(tuple(r) for r in agreed.collect()) == [(1, 5), (4, 7)]
+
+
+def test_headers_and_bodies_go_through_arrow(spark):
+    import yaml
+    from pyspark.util import PythonEvalType
+
+    from lectern.operators import schemas
+    from lectern.sources import markdown
+    from lectern.sources.markdown import split_header
+
+    texts_ = ["---\na: 1\nb: [x, y]\nc: 2020-01-02\nd: null\ne: 'q'\n---\nbody", "none", None, "---\n- x\n---\nrest", "---\na: [\n---\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "i int, t string")
+    got = [tuple(r["p"]) for r in df.select("i", split_header("t").alias("p")).orderBy("i").collect()]
+    kinds = {"a": "int", "b": "list", "c": "date", "d": "null", "e": "str"}
+    assert got[0] == ({"a": "1", "b": '["x", "y"]', "c": "2020-01-02", "d": None, "e": "q"}, kinds, "body", None)
+    assert got[1:] == [(None, None, "none", "missing_header"), (None, None, None, "missing_header"), (None, None, "rest", "malformed"), (None, None, "", "malformed")]
+    bodies = [("1", "book", "## 核心论点\nx\n~~~\n## 精读章节\n~~~"), ("2", None, "x"), ("3", "webpage", None)]
+    out = schemas.body_violations(spark.createDataFrame(bodies, "path string, type string, body string"))
+    assert schemas._body_faults.evalType == split_header.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    assert markdown._LOADER is yaml.CSafeLoader
+    assert {(r["path"], r["fault"], r["h2"]) for r in out.collect()} == {("1", "missing_required_h2", h) for h in ("章节逻辑", "关键概念", "理论贡献", "精读章节")} | {("3", "missing_required_h2", h) for h in ("Summary", "Content")}
