@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -255,7 +256,7 @@ def plain_lines(lines: list[str]):
     """(line, whether it is outside fenced code): a fence is closed by one of its sign, as long at least, with nothing behind it."""
     mark = ""
     for line in lines:
-        m = _OPENS.match(line)
+        m = _OPENS.match(line) if "```" in line or "~~~" in line else None
         if mark:
             yield line, False
             if m and m[1][0] == mark[0] and len(m[1]) >= len(mark) and not line.strip().strip(mark[0]):
@@ -291,12 +292,13 @@ def body_faults(kind: str | None, body: str | None) -> list[dict]:
     if not sections:
         return []
     told = lambda fault, h2=None, expected=None, detected=None: {"fault": fault, "h2": h2, "expected": expected, "detected": detected}
-    heads = [(len(m[1]), m[2]) for line, plain in plain_lines(lines) if plain and (m := _LEVEL.match(line))]
+    told_lines = list(plain_lines(lines))
+    heads = [(len(m[1]), m[2]) for line, plain in told_lines if plain and line.startswith("#") and (m := _LEVEL.match(line))]
     if heads and all(level > 2 for level, _ in heads):
         return [told("global_heading_level_drift", expected="2", detected=str(min(level for level, _ in heads)))]
     parts: list[tuple[str, list[str]]] = []
-    for line, plain in plain_lines(lines):
-        m = _SECOND.match(line) if plain else None
+    for line, plain in told_lines:
+        m = _SECOND.match(line) if plain and line.startswith("##") else None
         if m:
             parts.append((m[1].strip(), []))
         elif parts:
@@ -327,12 +329,13 @@ def body_faults(kind: str | None, body: str | None) -> list[dict]:
     return out
 
 
+ARROW_FAULTS = pa.list_(pa.struct([(n, pa.string()) for n in ("fault", "h2", "expected", "detected")]))
 FAULTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("fault", "h2", "expected", "detected")]))
 
 
-@F.pandas_udf(FAULTS)
-def _body_faults(kind: pd.Series, body: pd.Series) -> pd.Series:
-    return pd.Series([body_faults(k, b) for k, b in zip(kind, body, strict=True)])
+@F.arrow_udf(FAULTS)
+def _body_faults(kind: pa.Array, body: pa.Array) -> pa.Array:
+    return pa.array([body_faults(k, b) for k, b in zip(kind.to_pylist(), body.to_pylist(), strict=True)], ARROW_FAULTS)
 
 
 def body_violations(files: DataFrame) -> DataFrame:
