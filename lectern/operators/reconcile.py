@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import title_tokens, token_jaccard
 from lectern.operators.components import components
-from lectern.sources.tables import keep
+from lectern.sources.tables import keep, spread
 
 SIMILAR = 0.85
+#: A word of more titles than this is frequent.
+HOT = 20_000
 
 
 @dataclass(frozen=True)
@@ -45,15 +47,21 @@ def title_pairs(records: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     known = records.where("coalesce(year, 0) <> 0").select("rid", "year", title_tokens(F.col("title")).alias("words"))
     words = known.select("rid", "year", F.explode("words").alias("word"))
-    rank = words.groupBy("word").agg(F.count("*").alias("n"))
+    rows = records.count()
+    rank = keep(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    # words of very many titles would lie in one task of a join; they are few, so they are sent to all
+    hot = rank.where(F.col("n") > HOT).select(F.col("word").alias("__w"), F.col("n").alias("__n"))
+    counted = words.join(F.broadcast(hot), F.col("word") == F.col("__w"), "left")
+    often = counted.where("__n is not null").select("rid", "year", "word", F.col("__n").alias("n"))
+    seldom = spread(counted.where("__n is null").select("rid", "year", "word"), rows, "word").join(spread(rank.where(F.col("n") <= HOT), rows, "word"), "word")
     by_rarity = F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda w: w["word"])
-    titles = words.join(rank, "word").groupBy("rid", "year").agg(by_rarity.alias("words"))
+    titles = spread(often.unionByName(seldom), rows, "rid", "year").groupBy("rid", "year").agg(by_rarity.alias("words"))
     prefix = F.slice("words", F.lit(1), F.size("words") - F.ceil(F.size("words") * similar).cast("int") + 1)
     probe = titles.select("rid", "words", F.explode(prefix).alias("word"), F.col("year").alias("y")).withColumn("year", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)))
     index = titles.select(F.col("rid").alias("other"), F.col("words").alias("others"), F.explode("words").alias("word"), "year")
     both = F.size(F.array_intersect("words", "others"))
-    met = probe.join(index, ["word", "year"]).where("rid <> other").where(token_jaccard(both, F.size("words"), F.size("others")) >= similar)
-    return met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
+    met = spread(probe, rows * 2, "word", "year").join(spread(index, rows * 2, "word", "year"), ["word", "year"]).where("rid <> other").where(token_jaccard(both, F.size("words"), F.size("others")) >= similar)
+    return spread(met.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")), rows, "a", "b").distinct()
 
 
 def match_pairs(records: DataFrame, keys: tuple[str, ...], similar: float = SIMILAR) -> DataFrame:

@@ -163,3 +163,18 @@ def test_headers_and_bodies_go_through_arrow(spark):
     assert schemas._body_faults.evalType == split_header.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
     assert markdown._LOADER is yaml.CSafeLoader
     assert {(r["path"], r["fault"], r["h2"]) for r in out.collect()} == {("1", "missing_required_h2", h) for h in ("章节逻辑", "关键概念", "理论贡献", "精读章节")} | {("3", "missing_required_h2", h) for h in ("Summary", "Content")}
+
+
+def test_frequent_words_lie_in_no_single_task(spark, monkeypatch):
+    from lectern.operators import reconcile
+    from lectern.sources.tables import spread
+
+    df = spark.range(10).withColumn("k", F.col("id") % 3)
+    assert spread(df, 10, "k", each=1).rdd.getNumPartitions() == 10
+    assert spread(df, 10, "k") is df
+    rows = [(i, f"w{i // 2} base part", 1900 + i % 2) for i in range(60)]
+    records = spark.createDataFrame(rows, "rid long, title string, year int")
+    monkeypatch.setattr(reconcile, "HOT", 5)
+    out = reconcile.title_pairs(records)
+    assert "BroadcastHashJoin" in plan_of(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(i, i + 1) for i in range(0, 60, 2)]
