@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import html, identifiers, text
 from lectern.operators import repair, segment, transcript
-from lectern.sources.tables import read_table
+from lectern.sources.tables import read_table, spread
 
 
 def isbn13_check_digit(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +132,8 @@ def segment_boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 def slot_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Orders' lines as tables of contents: some lines are numbered chapters."""
-    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("pos", F.row_number().over(_by_order()))
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = spread(li, li.count(), "l_orderkey").withColumn("pos", F.row_number().over(_by_order()))
     n = F.row_number().over(_by_order())
     title = F.when(F.col("l_partkey") % 3 != 0, F.concat((n % 40).cast("string"), F.lit(". Part"))).otherwise("Interlude")
     toc = li.select(F.col("l_orderkey").alias("book"), "pos", title.alias("title"))

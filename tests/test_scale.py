@@ -178,3 +178,10 @@ def test_frequent_words_lie_in_no_single_task(spark, monkeypatch):
     out = reconcile.title_pairs(records)
     assert "BroadcastHashJoin" in plan_of(out)
     assert sorted(tuple(r) for r in out.collect()) == [(i, i + 1) for i in range(0, 60, 2)]
+
+
+def test_slots_are_parted_by_the_number_of_lines(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(texts, "spread", lambda df, rows, *keys: asked.append((rows, keys)) or df.repartition(7, *keys), raising=False)
+    assert "hashpartitioning(l_orderkey" in plan_of(texts.slot_assignment(spark, "/root/testdata/sf0.001"))
+    assert [k for _, k in asked] == [("l_orderkey",)] and asked[0][0] > 0
